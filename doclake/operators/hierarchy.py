@@ -17,33 +17,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doclake.session import cut
+from doclake.session import cut, new_path
 
 
 def _one_row_per_node(links: DataFrame) -> DataFrame:
     return links.where("node_id IS NOT NULL").groupBy("src", "node_id").agg(F.min("parent_id").alias("parent_id"))
 
 
-def contract(links: DataFrame, paths: bool = False, max_rounds: int = 200) -> DataFrame:
+def contract(links: DataFrame, paths: bool = False, label: str | None = None, max_rounds: int = 200) -> DataFrame:
     """(src, node_id, root_id, depth, n_desc) for each distinct node of ``links`` (src, node_id, parent_id).
 
     A node whose parent is null or no node of the same src is a root: itself as ``root_id``, depth 0. ``n_desc`` counts all
     nodes below. A node from which no root is reached (in or below a loop; a node may be its own parent) has root '', depth
     -1 and n_desc -1. Null nodes are left out; of several rows of a node the least non-null parent holds. An empty table
-    gives no rows. With ``paths``, also ``path``: the ids from the root to the node, null where there is no root.
+    gives no rows. With ``paths``, also ``path``: from the root to the node the ids, or the values of column ``label`` (then
+    ``links`` must hold one row per node); null where there is no root.
     """
-    nodes = _one_row_per_node(links)
+    nodes = _one_row_per_node(links) if label is None else links.where("node_id IS NOT NULL").select("src", "node_id", "parent_id", F.col(label).alias("tag"))
+    kind = nodes.schema["tag"].dataType.simpleString() if label else "string"
+    tag = ["tag"] if label else []
+    mark = F.col("tag") if label else F.col("v")
     known = nodes.select(F.col("src").alias("_src"), F.col("node_id").alias("_p"))
-    start = nodes.join(known, (F.col("src") == F.col("_src")) & (F.col("parent_id") == F.col("_p")), "left").select("src", F.col("node_id").alias("v"), F.col("_p").alias("p"))
+    start = nodes.join(known, (F.col("src") == F.col("_src")) & (F.col("parent_id") == F.col("_p")), "left").select("src", F.col("node_id").alias("v"), F.col("_p").alias("p"), *tag)
     kids = start.where("p IS NOT NULL").groupBy(F.col("src").alias("_src"), F.col("p").alias("_v")).agg(F.count("*").alias("_k"))
     zero = F.lit(0).cast("bigint")
-    hops = [F.array().cast("array<string>").alias("hops")] if paths else []
+    hops = [F.array().cast(f"array<{kind}>").alias("hops")] if paths else []
     # acc: nodes raked into v; hid, hops: what the link to p hides (count with all below; ids from v upwards).
     state = start.join(kids, (F.col("src") == F.col("_src")) & (F.col("v") == F.col("_v")), "left").select(
-        "src", "v", "p", F.coalesce("_k", F.lit(0)).cast("int").alias("kids"), F.lit(1).cast("bigint").alias("dist"), zero.alias("acc"), zero.alias("hid"), *hops
+        "src", "v", "p", F.coalesce("_k", F.lit(0)).cast("int").alias("kids"), F.lit(1).cast("bigint").alias("dist"), zero.alias("acc"), zero.alias("hid"), *hops, *tag
     )
+    spark = links.sparkSession
     rounds: list[DataFrame] = []
-    hops = ["hops"] if paths else []
+    hops = ["hops", *tag] if paths else []
     for k in range(max_rounds):
         below = state.where("p IS NOT NULL AND p <> v")
         leaf = F.col("kids") == 0
@@ -75,7 +80,7 @@ def contract(links: DataFrame, paths: bool = False, max_rounds: int = 200) -> Da
         if not (counts.get("keep", 0) or counts.get("rake", 0) or counts.get("compress", 0)):
             break
         stay = done.where("act IN ('keep', 'root', 'core')")
-        spliced = done.where("act = 'compress'").select(F.col("src").alias("_src"), F.col("v").alias("_v"), F.col("p").alias("_p"), F.col("dist").alias("_dist"), (F.col("acc") + F.col("hid") + 1).alias("_hid"), *([F.concat(F.array("v"), F.col("hops")).alias("_hops")] if paths else []))
+        spliced = done.where("act = 'compress'").select(F.col("src").alias("_src"), F.col("v").alias("_v"), F.col("p").alias("_p"), F.col("dist").alias("_dist"), (F.col("acc") + F.col("hid") + 1).alias("_hid"), *([F.concat(F.array(mark), F.col("hops")).alias("_hops")] if paths else []))
         s = stay.join(spliced, (F.col("src") == F.col("_src")) & (F.col("p") == F.col("_v")), "left")
         state = s.select(
             "src",
@@ -85,14 +90,21 @@ def contract(links: DataFrame, paths: bool = False, max_rounds: int = 200) -> Da
             (F.col("dist") + F.coalesce("_dist", zero)).alias("dist"),
             "acc",
             (F.col("hid") + F.coalesce("_hid", zero)).alias("hid"),
-            *([F.when(F.col("_v").isNull(), F.col("hops")).otherwise(F.concat("hops", "_hops")).alias("hops")] if paths else []),
+            *([F.when(F.col("_v").isNull(), F.col("hops")).otherwise(F.concat("hops", "_hops")).alias("hops"), *tag] if paths else []),
         )
     else:
         raise RuntimeError(f"contraction did not end in {max_rounds} rounds")
 
     root = F.col("act") == "root"
-    known_path = [F.when(root, F.array("v")).alias("path")] if paths else []
-    found = rounds[-1].select("src", "v", F.when(root, F.col("v")).otherwise("").alias("root_id"), F.when(root, 0).otherwise(-1).cast("bigint").alias("depth"), F.when(root, F.col("acc")).otherwise(-1).cast("bigint").alias("n_desc"), *known_path)
+    known_path = [F.when(root, F.array(mark)).alias("path")] if paths else []
+    base = new_path(spark, "found")
+
+    def keep(k: int, df: DataFrame) -> DataFrame:
+        """All that is found so far: one folder, so that plans don't grow with the rounds."""
+        df.write.parquet(f"{base}/round={k}")
+        return spark.read.schema(df.schema).option("basePath", base).parquet(base)
+
+    found = keep(len(rounds), rounds[-1].select("src", "v", F.when(root, F.col("v")).otherwise("").alias("root_id"), F.when(root, 0).otherwise(-1).cast("bigint").alias("depth"), F.when(root, F.col("acc")).otherwise(-1).cast("bigint").alias("n_desc"), *known_path))
     for k, done in reversed(list(enumerate(rounds[:-1]))):
         gone = done.where("act IN ('rake', 'compress')")
         up = found.select(F.col("src").alias("_us"), F.col("v").alias("_uv"), F.col("root_id"), F.col("depth").alias("_ud"), *([F.col("path").alias("_up")] if paths else []))
@@ -106,7 +118,7 @@ def contract(links: DataFrame, paths: bool = False, max_rounds: int = 200) -> Da
             "root_id",
             F.when(rooted, F.col("_ud") + F.col("dist")).otherwise(-1).cast("bigint").alias("depth"),
             F.when(rooted, below).otherwise(-1).cast("bigint").alias("n_desc"),
-            *([F.when(rooted, F.concat("_up", F.reverse("hops"), F.array("v"))).alias("path")] if paths else []),
+            *([F.when(rooted, F.concat("_up", F.reverse("hops"), F.array(mark))).alias("path")] if paths else []),
         )
-        found = found.unionByName(cut(part, f"undo-{k}"))
+        found = keep(k, part)
     return found.select("src", F.col("v").alias("node_id"), "root_id", F.col("depth").cast("int"), F.col("n_desc").cast("int"), *(["path"] if paths else []))
