@@ -24,9 +24,9 @@ def distinct_within(stream: DataFrame, keys: list[str], time: str, delay: str =
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def counts(stream: DataFrame, time: str, by: list[str], window: str, delay: str) -> DataFrame:
-    """Counts per window and key, final once the watermark has passed the window."""
-    return stream.withWatermark(time, delay).groupBy(F.window(time, window), *by).agg(F.count("*").alias("n"))
+def counts(stream: DataFrame, time: str, by: list[str], window: str, delay: str | None = None) -> DataFrame:
+    """Counts per window and key, final once the watermark has passed the window; ``delay`` sets it where none is set yet."""
+    return (stream.withWatermark(time, delay) if delay else stream).groupBy(F.window(time, window), *by).agg(F.count("*").alias("n"))
 
 
 def keep_ledger(stream: DataFrame, folder: str, checkpoint: str, keys: list[str], seq: str, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:

@@ -263,6 +263,6 @@ def test_stream_windows(spark, tmp_path):
     t = dt.datetime(2024, 1, 1)
     spark.createDataFrame([(1, t), (1, t), (2, t + dt.timedelta(minutes=30)), (3, t + dt.timedelta(hours=5))], "k int, at timestamp").write.parquet(land)
     s = rounds.landed(spark, land, "k int, at timestamp")
-    q = rounds.counts(rounds.distinct_within(s, ["k"], "at"), "at", [], "1 hour", "5 minutes").writeStream.format("memory").queryName("win").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q = rounds.counts(rounds.distinct_within(s, ["k"], "at"), "at", [], "1 hour").writeStream.format("memory").queryName("win").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r.n for r in spark.table("win").collect()] == [2]
