@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doclake.session import cut, new_path
+from doclake.session import cut, discard, new_path
 
 
 def _one_row_per_node(links: DataFrame) -> DataFrame:
@@ -48,6 +48,7 @@ def contract(links: DataFrame, paths: bool = False, label: str | None = None, ma
     )
     spark = links.sparkSession
     rounds: list[DataFrame] = []
+    passing: list[str] = []
     hops = ["hops", *tag] if paths else []
     for k in range(max_rounds):
         below = state.where("p IS NOT NULL AND p <> v")
@@ -73,6 +74,7 @@ def contract(links: DataFrame, paths: bool = False, label: str | None = None, ma
         done = cut(
             j.select("src", "v", "p", left.alias("kids"), "dist", (F.col("acc") + F.coalesce("_raked", F.lit(0))).alias("acc"), "hid", *hops, "c", "c_hid", act.alias("act")),
             f"contract-{k}",
+            passing,
         )
         rounds.append(done)
         # Roots and cores stay until all that hangs on them is gone; each round they take what is raked into them.
@@ -121,4 +123,6 @@ def contract(links: DataFrame, paths: bool = False, label: str | None = None, ma
             *([F.when(rooted, F.concat("_up", F.reverse("hops"), F.array(mark))).alias("path")] if paths else []),
         )
         found = keep(k, part)
+    for path in passing:
+        discard(spark, path)
     return found.select("src", F.col("v").alias("node_id"), "root_id", F.col("depth").cast("int"), F.col("n_desc").cast("int"), *(["path"] if paths else []))

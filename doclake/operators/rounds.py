@@ -61,12 +61,12 @@ def run_round(inventory: DataFrame, bodies: DataFrame, old: dict[str, DataFrame]
 def run_record(before: DataFrame, stats: DataFrame, started: str, finished: str, mode: str) -> DataFrame:
     """``before`` (id, platform, started_at, finished_at, checkpoint, stats) with one more record per platform of ``stats``;
     its stats as JSON; ids go on from the greatest."""
-    top = before.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    top = before.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     counts = [c for c in stats.columns if c != "platform"]
     # There are a handful of platforms: numbering them in one task is bounded.
     nth = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("platform"))
-    rows = stats.withColumn("nth", nth).crossJoin(F.broadcast(top)).select(
-        (F.col("top") + F.col("nth")).cast("bigint").alias("id"), "platform", F.lit(started).alias("started_at"), F.lit(finished).alias("finished_at"), F.lit("").alias("checkpoint"),
+    rows = stats.withColumn("nth", nth).select(
+        (F.lit(top) + F.col("nth")).cast("bigint").alias("id"), "platform", F.lit(started).alias("started_at"), F.lit(finished).alias("finished_at"), F.lit("").alias("checkpoint"),
         F.to_json(F.struct(F.lit(mode).alias("mode"), *counts)).alias("stats"),
     )
     return before.select(*rows.columns).unionByName(rows)

@@ -60,14 +60,14 @@ def new_path(spark: SparkSession, what: str) -> str:
     return path
 
 
-def cut(df: DataFrame, what: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends there, and losing an executor loses nothing."""
+def cut(df: DataFrame, what: str, paths: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: the lineage ends there, and losing an executor loses nothing.
+    The path is added to ``paths``, for callers that :func:`discard` it before the process ends."""
     spark = df.sparkSession
     path = new_path(spark, what)
-    w = df.write
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -81,8 +81,8 @@ def discard(spark: SparkSession, path: str) -> None:
 def _discard_all() -> None:
     for spark, path in _written:
         try:
-            if path.startswith("file:"):
-                shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+            if path.startswith("file:") or "://" not in path:
+                shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
             else:
                 discard(spark, path)
         except Exception:  # noqa: BLE001 - the application may be gone
