@@ -13,12 +13,15 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from doclake.session import cut
+
 _BINS = 4096
-#: Rows of the targets table that the driver plans for. More is an error, not a cut.
-MAX_SOURCES = 20_000
+#: Rows up to which a plan is broadcast: under 1 MB at ten repeats.
+MAX_SOURCES = 5_000
 
 
 def uniform(key: str, seed: int):
@@ -65,28 +68,37 @@ def solve(bins: dict[int, float], cap: int, goal: float) -> list[float]:
     return poisson_cdf(hi, cap)
 
 
+def _solved(rows: pd.DataFrame) -> pd.DataFrame:
+    r = rows.iloc[0]
+    bins = dict(r["bins"]) if r["bins"] is not None else {}
+    cap = int(r["max_repeats"])
+    return pd.DataFrame({"source": [r["source"]], "target_share": [r["target_share"]], "max_repeats": [cap], "cdf": [solve(bins, cap, float(r["goal"]))]})
+
+
 def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target_share, max_repeats, cdf) for every source of ``targets`` (source, target_share, max_repeats), from
-    ``sizes`` (source, n_tokens, u). Sources without tokens, share or repeats get an empty ``cdf``."""
-    spark = sizes.sparkSession
-    rows = [r.asDict() for r in targets.where("source IS NOT NULL").select("source", "target_share", "max_repeats").limit(MAX_SOURCES + 1).collect()]
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources are targeted")
-    wanted = targets.select("source").distinct()
+    """(source, target_share, max_repeats, cdf) for every source of ``targets`` (source, target_share, max_repeats; of a
+    source that comes twice the greatest row), from ``sizes`` (source, n_tokens, u). Sources without tokens, share or
+    repeats get an empty ``cdf``. Means are solved where the bins are; the driver sees the total only."""
+    goals = targets.where("source IS NOT NULL").groupBy("source").agg(F.max(F.struct(F.coalesce("target_share", F.lit(0.0)).alias("s"), F.coalesce("max_repeats", F.lit(0)).alias("r"))).alias("g"))
+    goals = goals.select("source", F.col("g.s").alias("target_share"), F.col("g.r").alias("max_repeats"))
     sums = (
-        sizes.join(F.broadcast(wanted), "source", "left_semi").groupBy("source", F.floor(F.col("u") * _BINS).cast("int").alias("bin")).agg(F.sum("n_tokens").alias("n"))
-        .groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("bin", F.col("n").cast("double")))).alias("bins"))
+        sizes.where("source IS NOT NULL").groupBy("source", F.floor(F.col("u") * _BINS).cast("int").alias("bin")).agg(F.sum("n_tokens").alias("n"))
+        .groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("bin", F.col("n").cast("double")))).alias("bins"), F.sum("n").alias("all"))
     )
-    bins = {r["source"]: dict(r["bins"]) for r in sums.toLocalIterator()}
-    live = [r for r in rows if (r["target_share"] or 0) > 0 and (r["max_repeats"] or 0) > 0 and sum(bins.get(r["source"], {}).values()) > 0]
-    shares = sum(r["target_share"] for r in live)
-    total = min((sum(bins[r["source"]].values()) * r["max_repeats"] * shares / r["target_share"] for r in live), default=0.0)
-    names = {r["source"] for r in live}
-    out = [
-        (r["source"], r["target_share"], r["max_repeats"], solve(bins[r["source"]], r["max_repeats"], total * r["target_share"] / shares) if r["source"] in names else [])
-        for r in rows
-    ]
-    return spark.createDataFrame(out, "source string, target_share double, max_repeats int, cdf array<double>")
+    held = cut(goals.join(sums, "source", "left"), "goals")
+    able = "target_share > 0 AND max_repeats > 0 AND all > 0"
+    live = held.where(able)
+    shares = live.agg(F.sum("target_share")).first()[0] or 1.0
+    total = live.agg(F.min(F.col("all") * F.col("max_repeats") * F.lit(shares) / F.col("target_share"))).first()[0] or 0.0
+    schema = "source string, target_share double, max_repeats int, cdf array<double>"
+    solved = live.withColumn("goal", F.lit(total) * F.col("target_share") / F.lit(shares)).groupBy("source").applyInPandas(_solved, schema)
+    rest = held.where(f"NOT coalesce({able}, false)").select("source", "target_share", "max_repeats", F.array().cast("array<double>").alias("cdf"))
+    return cut(solved.unionByName(rest), "plan")
+
+
+def _small(planned: DataFrame) -> DataFrame:
+    """The plan, broadcast if it is short; a longer one is joined as Spark sees fit."""
+    return F.broadcast(planned) if planned.limit(MAX_SOURCES + 1).count() <= MAX_SOURCES else planned
 
 
 def copies(u, cdf):
@@ -100,7 +112,7 @@ def mix(docs: DataFrame, planned: DataFrame, seed: int) -> DataFrame:
 
     Documents whose source is null or has no target aren't used. Repeated rows of a document are drawn alike.
     """
-    drawn = docs.join(F.broadcast(planned.select("source", "cdf")), "source").withColumn("_n", copies(uniform("doc_id", seed), F.col("cdf"))).where("_n > 0")
+    drawn = docs.join(_small(planned.select("source", "cdf")), "source").withColumn("_n", copies(uniform("doc_id", seed), F.col("cdf"))).where("_n > 0")
     each = drawn.select(*(c for c in docs.columns if c not in ("copy_no", "shuffle_key")), F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy_no"))
     keyed = each.withColumn("shuffle_key", F.xxhash64(F.lit(seed + 1), "doc_id", "copy_no"))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
@@ -108,12 +120,13 @@ def mix(docs: DataFrame, planned: DataFrame, seed: int) -> DataFrame:
 
 def report(sizes: DataFrame, planned: DataFrame) -> DataFrame:
     """Per source of the documents or the targets: what there was, what was used, and the share reached."""
-    held = sizes.join(F.broadcast(planned.select("source", "cdf")), "source", "left").withColumn("_n", copies(F.col("u"), F.col("cdf")))
+    held = sizes.join(_small(planned.select("source", "cdf")), "source", "left").withColumn("_n", copies(F.col("u"), F.col("cdf")))
     per = held.groupBy("source").agg(
         F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sum("_n").alias("n_used"), F.max("_n").alias("most_repeats"), F.sum(F.col("_n") * F.col("n_tokens")).alias("tokens_used")
     )
     goals = planned.select(F.col("source").alias("_s"), "target_share", "max_repeats")
-    both = per.join(F.broadcast(goals), F.col("source").eqNullSafe(F.col("_s")), "full").withColumn("source", F.coalesce("source", "_s")).drop("_s")
+    both = per.join(goals, F.col("source") == F.col("_s"), "full").withColumn("source", F.coalesce("source", "_s")).drop("_s")
     both = both.fillna(0, ["n_docs", "n_tokens", "n_used", "most_repeats", "tokens_used"])
-    total = both.agg(F.sum("tokens_used").alias("_all"))
-    return both.crossJoin(F.broadcast(total)).withColumn("actual_share", F.when(F.col("_all") > 0, F.col("tokens_used") / F.col("_all")).otherwise(0.0)).drop("_all")
+    both = cut(both, "shares")
+    total = both.agg(F.sum("tokens_used")).first()[0] or 0
+    return both.withColumn("actual_share", F.col("tokens_used") / F.lit(total) if total else F.lit(0.0))
