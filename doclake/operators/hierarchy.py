@@ -44,7 +44,7 @@ def contract(links: DataFrame, paths: bool = False, label: str | None = None, ma
     hops = [F.array().cast(f"array<{kind}>").alias("hops")] if paths else []
     # acc: nodes raked into v; hid, hops: what the link to p hides (count with all below; ids from v upwards).
     state = start.join(kids, (F.col("src") == F.col("_src")) & (F.col("v") == F.col("_v")), "left").select(
-        "src", "v", "p", F.coalesce("_k", F.lit(0)).cast("int").alias("kids"), F.lit(1).cast("bigint").alias("dist"), zero.alias("acc"), zero.alias("hid"), *hops, *tag
+        "src", "v", "p", F.coalesce("_k", F.lit(0)).cast("int").alias("kids"), F.lit(1).cast("bigint").alias("dist"), zero.alias("acc"), zero.alias("hid"), F.lit(0).alias("turn"), *hops, *tag
     )
     spark = links.sparkSession
     rounds: list[DataFrame] = []
@@ -62,7 +62,8 @@ def contract(links: DataFrame, paths: bool = False, label: str | None = None, ma
         )
         j = state.join(gathered, (F.col("src") == F.col("_src")) & (F.col("v") == F.col("_v")), "left").drop("_src", "_v")
         left = F.coalesce(F.col("_all") - F.col("_leaves"), F.lit(0)).cast("int")
-        rank = lambda c: F.xxhash64(c, F.lit(k))
+        # The round's number is data: as a literal it would have every round compiled anew.
+        rank = lambda c: F.xxhash64(c, F.col("turn"))
         low = (left == 1) & (F.col("_leaves") == 0) & (rank(F.col("v")) < rank(F.col("p"))) & (rank(F.col("v")) < rank(F.col("c")))
         act = (
             F.when(F.col("p").isNull(), "root")
@@ -72,7 +73,7 @@ def contract(links: DataFrame, paths: bool = False, label: str | None = None, ma
             .otherwise("keep")
         )
         done = cut(
-            j.select("src", "v", "p", left.alias("kids"), "dist", (F.col("acc") + F.coalesce("_raked", F.lit(0))).alias("acc"), "hid", *hops, "c", "c_hid", act.alias("act")),
+            j.select("src", "v", "p", left.alias("kids"), "dist", (F.col("acc") + F.coalesce("_raked", F.lit(0))).alias("acc"), "hid", "turn", *hops, "c", "c_hid", act.alias("act")),
             f"contract-{k}",
             passing,
         )
@@ -92,6 +93,7 @@ def contract(links: DataFrame, paths: bool = False, label: str | None = None, ma
             (F.col("dist") + F.coalesce("_dist", zero)).alias("dist"),
             "acc",
             (F.col("hid") + F.coalesce("_hid", zero)).alias("hid"),
+            (F.col("turn") + 1).alias("turn"),
             *([F.when(F.col("_v").isNull(), F.col("hops")).otherwise(F.concat("hops", "_hops")).alias("hops"), *tag] if paths else []),
         )
     else:
