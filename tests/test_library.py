@@ -56,7 +56,7 @@ def test_text_helpers(spark):
     assert value(spark, X.clock_times, "8:30, 21:05 ,08:30") == ["08:30", "21:05"]
     assert value(spark, X.clock_times, "24:00") is None
     assert [value(spark, X.retry_after, s) for s in ("", "5", "0", "abc", "  3 ")] == [0, 5, 0, 0, 3]
-    assert value(spark, X.first_semver, "lark-cli v1.2 (x)") == [1, 2, 0]
+    assert value(spark, X.first_semver, "engine v1.2 (x)") == [1, 2, 0]
     head, body = X.split_front_matter(F.col("a0"))
     assert tuple(spark.createDataFrame([("---\na: 1\n---\nx\n---\n",)], "a0 string").select(head, body).first()) == ("---\na: 1\n---\n", "x\n---\n")
 
