@@ -495,10 +495,10 @@ def content_hash(spark, d):
     """SELECT doc_id, '"' || replace(replace(replace(replace(replace(left(text, 400), '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t') || '"' AS quoted,
   replace(replace(left(text, 400), '[', '\\['), ']', '\\]') AS label FROM documents WHERE text IS NOT NULL"""
 )
-def quoted_heads(spark, d):
-    """The first 400 characters (what a front matter summary shows), quoted for YAML and escaped for a link."""
-    head = F.left("text", F.lit(400))
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", X.yaml_quote(head).alias("quoted"), X.link_text(head).alias("label"))
+def quoted_texts(spark, d):
+    """The whole texts, quoted for YAML and escaped for a link. The SQL above cuts them to 400 characters: equal only up to there."""
+    text = F.col("text")
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", X.yaml_quote(text).alias("quoted"), X.link_text(text).alias("label"))
 
 
 @query(

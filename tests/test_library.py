@@ -9,6 +9,7 @@ from doclake.functions import naming as N
 from doclake.functions import properties as P
 from doclake.functions import text as X
 from doclake.operators import changes, ledger, links, placement, runs
+from doclake.plans import library
 from doclake.sources import landed
 
 
@@ -266,3 +267,10 @@ def test_stream_windows(spark, tmp_path):
     q = rounds.counts(rounds.distinct_within(s, ["k"], "at"), "at", [], "1 hour").writeStream.format("memory").queryName("win").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r.n for r in spark.table("win").collect()] == [2]
+
+
+def test_texts_are_quoted_whole(spark, tmp_path):
+    long = "x" * 500 + '[a] "b"\\\n'
+    spark.createDataFrame([(1, long), (2, None), (3, "")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.quoted, r.label) for r in library.quoted_texts(spark, str(tmp_path)).collect()}
+    assert got == {1: ('"' + "x" * 500 + '[a] \\"b\\"\\\\\\n"', "x" * 500 + '\\[a\\] "b"\\\n'), 3: ('""', "")}
