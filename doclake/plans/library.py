@@ -658,10 +658,10 @@ def unknown_blocks(spark, d):
   concat_ws(chr(10), CASE WHEN n_chars > 6000 THEN '<!-- doclake:truncated -->' END, CASE WHEN n_cells > 12 THEN '<!-- doclake:unknown-blocks n="1" ids="' || repo || '" -->' END) AS mark FROM documents WHERE text IS NOT NULL AND repo IS NOT NULL AND n_cells IS NOT NULL AND n_chars IS NOT NULL)"""
 )
 def loss_markers(spark, d):
-    """Bodies after the markers of what they lost."""
-    t = table(spark, d, "documents").where("text IS NOT NULL AND repo IS NOT NULL AND n_cells IS NOT NULL AND n_chars IS NOT NULL")
-    ids = F.when(F.col("n_cells") > 12, F.array("repo")).otherwise(F.array().cast("array<string>"))
-    return t.select("doc_id", M.loss_markers(F.col("text"), F.col("n_chars") > 6000, ids).alias("body"))
+    """Bodies after the markers of what they lost, of every row with a text: a null gives no marker. The SQL above leaves out rows with one."""
+    t = table(spark, d, "documents").where("text IS NOT NULL")
+    ids = F.when((F.col("n_cells") > 12) & F.col("repo").isNotNull(), F.array("repo")).otherwise(F.array().cast("array<string>"))
+    return t.select("doc_id", M.loss_markers(F.col("text"), F.coalesce(F.col("n_chars") > 6000, F.lit(False)), ids).alias("body"))
 
 
 # ---------------------------------------------------------------- probes and parsers

@@ -274,3 +274,11 @@ def test_texts_are_quoted_whole(spark, tmp_path):
     spark.createDataFrame([(1, long), (2, None), (3, "")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.quoted, r.label) for r in library.quoted_texts(spark, str(tmp_path)).collect()}
     assert got == {1: ('"' + "x" * 500 + '[a] \\"b\\"\\\\\\n"', "x" * 500 + '\\[a\\] "b"\\\n'), 3: ('""', "")}
+
+
+def test_loss_markers_keep_rows_with_nulls(spark, tmp_path):
+    data = [(1, "a", 7000, 13, "r"), (2, "b", 7000, None, "r"), (3, "c", None, 13, "r"), (4, "d", 7000, 13, None), (5, "e", None, None, None), (6, None, 7000, 13, "r"), (7, "f", 1, 1, "r")]
+    spark.createDataFrame(data, "doc_id bigint, text string, n_chars bigint, n_cells int, repo string").write.parquet(f"{tmp_path}/documents.parquet")
+    cut, blocks = "<!-- doclake:truncated -->\n", '<!-- doclake:unknown-blocks n="1" ids="r" -->\n'
+    got = {r.doc_id: r.body for r in library.loss_markers(spark, str(tmp_path)).collect()}
+    assert got == {1: cut + blocks + "a", 2: cut + "b", 3: blocks + "c", 4: cut + "d", 5: "e", 7: "f"}
