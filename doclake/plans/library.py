@@ -619,13 +619,13 @@ def bitable_schema(spark, d):
 
 @query()
 def relation_titles(spark, d):
-    """Relations of the database rows with the titles of what they name, else its id."""
+    """Relations of the database rows with the titles of what they name, else its id; ``[]`` for an empty or null one."""
     rel = _properties(spark, d).where(F.get_json_object("value", "$.type") == "relation")
-    ids = rel.select("raw_id", "name", F.posexplode(F.from_json(F.get_json_object("value", "$.relation"), "array<struct<id: string>>")).alias("pos", "r"))
+    ids = rel.select("raw_id", "name", F.posexplode_outer(F.from_json(F.get_json_object("value", "$.relation"), "array<struct<id: string>>")).alias("pos", "r"))
     ids = ids.select("raw_id", "name", "pos", canonical_id(F.col("r.id")).alias("ref"))
     titles = _ledger(spark, d).select(F.col("id").alias("_id"), "title")
     named = ids.join(titles, F.col("ref") == F.col("_id"), "left").withColumn("shown", F.coalesce(F.nullif("title", F.lit("")), "ref", F.lit("")))
-    lists = F.array_sort(F.collect_list(F.struct("pos", "shown")))
+    lists = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "shown"))))
     return named.groupBy("raw_id", "name").agg(P.bracketed(F.transform(lists, lambda x: x["shown"])).alias("text"))
 
 

@@ -282,3 +282,11 @@ def test_loss_markers_keep_rows_with_nulls(spark, tmp_path):
     cut, blocks = "<!-- doclake:truncated -->\n", '<!-- doclake:unknown-blocks n="1" ids="r" -->\n'
     got = {r.doc_id: r.body for r in library.loss_markers(spark, str(tmp_path)).collect()}
     assert got == {1: cut + blocks + "a", 2: cut + "b", 3: blocks + "c", 4: cut + "d", 5: "e", 7: "f"}
+
+
+def test_empty_relations_are_shown(spark, tmp_path):
+    props = {"none": {"type": "relation", "relation": []}, "null": {"type": "relation", "relation": None}, "two": {"type": "relation", "relation": [{"id": "b"}, None, {"id": "a"}]}, "no": {"type": "url", "url": None}}
+    spark.createDataFrame([(1, json.dumps(props))], "raw_id bigint, properties string").write.parquet(f"{tmp_path}/query_rows.parquet")
+    spark.createDataFrame([("a", "A", ""), ("b", "", "")], "id string, title string, parent_id string").write.parquet(f"{tmp_path}/ledger_documents.parquet")
+    got = {(r.raw_id, r.name): r.text for r in library.relation_titles(spark, str(tmp_path)).collect()}
+    assert got == {(1, "none"): "[]", (1, "null"): "[]", (1, "two"): "[b, , A]"}
