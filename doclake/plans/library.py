@@ -530,21 +530,29 @@ def unix_times(spark, d):
 # ---------------------------------------------------------------- properties
 
 
-def _fields(text: str) -> Column:
+def _fields(c: Column) -> Column:
     """name -> value (JSON text) of a whole JSON object, else null. As the one member of an array it can't be followed by more
     text, which the parser would let pass; variants keep a string apart from what it holds."""
-    one = F.from_json(F.concat(F.lit("["), F.col(text), F.lit("]")), "array<map<string,variant>>")
+    one = F.from_json(F.concat(F.lit("["), c, F.lit("]")), "array<map<string,variant>>")
     return F.transform_values(F.when(F.size(one) == 1, one[0]), lambda _, v: F.to_json(v))
 
 
+def _unwrapped(text: str) -> Column:
+    """The content of a text that is one JSON string, other texts as they are. Of what is no object then (null, empty, broken,
+    another kind of value) :func:`_fields` gives null. The SQL here doesn't unwrap: it leaves out objects within strings."""
+    c = F.col(text)
+    one = F.from_json(F.when(c.rlike(r'^\s*"'), F.concat(F.lit("["), c, F.lit("]"))), "array<string>")
+    return F.when(c.rlike(r'^\s*"'), F.when(F.size(one) == 1, one[0])).otherwise(c)
+
+
 def _properties(spark, d):
-    """(raw_id, name, value) of each property of the database rows, values as JSON text."""
-    return table(spark, d, "query_rows").select("raw_id", F.explode(_fields("properties")).alias("name", "value"))
+    """(raw_id, name, value) of each property of the database rows, values as JSON text; rows that hold no object give none."""
+    return table(spark, d, "query_rows").select("raw_id", _unwrapped("properties").alias("properties")).select("raw_id", F.explode(_fields(F.col("properties"))).alias("name", "value"))
 
 
 @query()
 def render_properties(spark, d):
-    """Every property of the database rows as plain text; titles are shown elsewhere."""
+    """Every property of the database rows as plain text; titles are shown elsewhere. Rows may be an object or a string that holds one; others have no property."""
     ship(spark)
     p = _properties(spark, d).withColumn("type", F.get_json_object("value", "$.type")).where("type IS DISTINCT FROM 'title'")
     return p.select("raw_id", "name", "type", P.render_value(F.col("value")).alias("text"))
@@ -578,9 +586,10 @@ FROM query_rows, json_each(CASE WHEN json_valid(properties) AND json_type(proper
 FROM ({_FLAT}) WHERE type IN ('select', 'status', 'checkbox', 'url', 'email', 'phone_number', 'created_time', 'last_edited_time', 'date', 'created_by', 'last_edited_by', 'unique_id', 'multi_select', 'files', 'rich_text')"""
 )
 def render_plain_properties(spark, d):
-    """The property types that SQL can render."""
+    """The property types that SQL can render, of rows that are an object themselves: those within a string are left out here, as by the SQL."""
     kinds = "select status checkbox url email phone_number created_time last_edited_time date created_by last_edited_by unique_id multi_select files rich_text".split()
-    p = _properties(spark, d).withColumn("type", F.get_json_object("value", "$.type")).where(F.col("type").isin(*kinds))
+    rows = table(spark, d, "query_rows").select("raw_id", F.explode(_fields(F.col("properties"))).alias("name", "value"))
+    p = rows.withColumn("type", F.get_json_object("value", "$.type")).where(F.col("type").isin(*kinds))
     return p.select("raw_id", "name", "type", P.render_value(F.col("value")).alias("text"))
 
 
@@ -595,25 +604,29 @@ def row_hashes(spark, d):
 @query(f"SELECT data_source_id, list_sort(list(DISTINCT name))[1:4] AS columns FROM (SELECT q.data_source_id, f.name FROM ({_FLAT}) f JOIN query_rows q USING (raw_id) WHERE f.type IS DISTINCT FROM 'title') GROUP BY data_source_id")
 def index_columns(spark, d):
     """The columns of each database's index: the first four property names."""
-    rows = table(spark, d, "query_rows").select("data_source_id", F.explode(_fields("properties")).alias("name", "value"))
+    rows = table(spark, d, "query_rows").select("data_source_id", _unwrapped("properties").alias("properties")).select("data_source_id", F.explode(_fields(F.col("properties"))).alias("name", "value"))
     names = rows.where(F.get_json_object("value", "$.type").isNull() | (F.get_json_object("value", "$.type") != "title")).select("data_source_id", "name").distinct()
     # Each partition's and each key's first four are enough: no list of all names is built.
     nth = F.row_number().over(Window.partitionBy("data_source_id").orderBy("name"))
     return names.withColumn("nth", nth).where("nth <= 4").groupBy("data_source_id").agg(F.array_sort(F.collect_list("name")).alias("columns"))
 
 
+def _records(spark, d):
+    return table(spark, d, "bitable_records").select("raw_id", "space_id", "table_id", _unwrapped("fields").alias("fields"))
+
+
 @query()
 def bitable_cells(spark, d):
-    """Every cell of the bitable records as text."""
+    """Every cell of the bitable records as text. Records may be an object or a string that holds one; others have no cell."""
     ship(spark)
-    cells = table(spark, d, "bitable_records").select("raw_id", "space_id", "table_id", F.explode(_fields("fields")).alias("field", "value"))
+    cells = _records(spark, d).select("raw_id", F.explode(_fields(F.col("fields"))).alias("field", "value"))
     return cells.select("raw_id", "field", P.cell_text(F.col("value")).alias("text"))
 
 
 @query("""SELECT table_id, space_id, u.key AS field, count(*) AS n FROM bitable_records, json_each(CASE WHEN json_valid(fields) AND json_type(fields) = 'OBJECT' AND NOT regexp_matches(fields, ',\\s*[}\\]]') THEN fields ELSE '{}' END) u GROUP BY ALL""")
 def bitable_schema(spark, d):
     """The fields of each table and how many records have them."""
-    cells = table(spark, d, "bitable_records").select("space_id", "table_id", F.explode(F.map_keys(_fields("fields"))).alias("field"))
+    cells = _records(spark, d).select("space_id", "table_id", F.explode(F.map_keys(_fields(F.col("fields")))).alias("field"))
     return cells.groupBy("space_id", "table_id", "field").agg(F.count("*").alias("n"))
 
 

@@ -8,7 +8,7 @@ from doclake.functions import markup as M
 from doclake.functions import properties as P
 from doclake.functions.ids import canonical_id
 from doclake.operators import incremental, indexes, rewrite
-from doclake.plans.library import _ALIASES, _LEDGER, _LINKS, _NOTION, _aliases, _fields, _ledger, _links, _snap_sql, _snapshot, front_matter, notion_inventory, render_properties
+from doclake.plans.library import _ALIASES, _LEDGER, _LINKS, _NOTION, _aliases, _fields, _ledger, _links, _records, _snap_sql, _snapshot, front_matter, notion_inventory, render_properties
 from doclake.plans.library import ORACLES as _LIBRARY_SQL
 from doclake.session import ship, table
 
@@ -139,10 +139,10 @@ def database_index(spark, d):
 
 @query()
 def bitable_tables(spark, d):
-    """Bitable records as Markdown tables, or their structure alone when there are many."""
+    """Bitable records as Markdown tables, or their structure alone when there are many. Every record counts and has its line; one without an object has blank cells."""
     ship(spark)
-    cells = table(spark, d, "bitable_records").select("space_id", "table_id", "raw_id", F.explode(_fields("fields")).alias("k", "v")).withColumn("v", P.cell_text(F.col("v")))
-    records = cells.groupBy("space_id", "table_id", "raw_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("cells"))
+    cells = _records(spark, d).select("space_id", "table_id", "raw_id", F.explode_outer(_fields(F.col("fields"))).alias("k", "v")).withColumn("v", P.cell_text(F.col("v")))
+    records = cells.groupBy("space_id", "table_id", "raw_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "v")))).alias("cells"))
     return indexes.bitable_lines(records.select(F.concat_ws("/", "space_id", "table_id").alias("table"), "raw_id", "cells"))
 
 

@@ -9,7 +9,7 @@ from doclake.functions import naming as N
 from doclake.functions import properties as P
 from doclake.functions import text as X
 from doclake.operators import changes, ledger, links, placement, runs
-from doclake.plans import library
+from doclake.plans import library, round_queries
 from doclake.sources import landed
 
 
@@ -290,3 +290,18 @@ def test_empty_relations_are_shown(spark, tmp_path):
     spark.createDataFrame([("a", "A", ""), ("b", "", "")], "id string, title string, parent_id string").write.parquet(f"{tmp_path}/ledger_documents.parquet")
     got = {(r.raw_id, r.name): r.text for r in library.relation_titles(spark, str(tmp_path)).collect()}
     assert got == {(1, "none"): "[]", (1, "null"): "[]", (1, "two"): "[b, , A]"}
+
+
+def test_objects_within_strings_and_empty_records(spark, tmp_path):
+    props = {"a": {"type": "url", "url": "u"}, "t": {"type": "title", "title": []}}
+    rows = [(1, "db", json.dumps(props)), (2, "db", json.dumps(json.dumps(props))), (3, "db", '""'), (4, "db", '"{"'), (5, "db", None), (6, "db", json.dumps(json.dumps(props)) + ' "x"')]
+    spark.createDataFrame(rows, "raw_id bigint, data_source_id string, properties string").write.parquet(f"{tmp_path}/query_rows.parquet")
+    d = str(tmp_path)
+    assert sorted((r.raw_id, r.name, r.text) for r in library.render_properties(spark, d).collect()) == [(1, "a", "u"), (2, "a", "u")]
+    assert sorted((r.raw_id, r.n, r.types) for r in library.property_types(spark, d).collect()) == [(1, 2, 2), (2, 2, 2)]
+    fields = ['{"x":1}', json.dumps('{"y": "z"}'), "{}", "{", None, '""', "[1]"]
+    spark.createDataFrame([(i, "s", "t", f) for i, f in enumerate(fields)], "raw_id bigint, space_id string, table_id string, fields string").write.parquet(f"{tmp_path}/bitable_records.parquet")
+    assert sorted((r.raw_id, r.field, r.text) for r in library.bitable_cells(spark, d).collect()) == [(0, "x", "1"), (1, "y", "z")]
+    assert sorted((r.field, r.n) for r in library.bitable_schema(spark, d).collect()) == [("x", 1), ("y", 1)]
+    got = {r.raw_id: r.line for r in round_queries.bitable_tables(spark, d).collect()}
+    assert got == {None: "| x | y |\n| --- | --- |", 0: "| 1 |   |", 1: "|   | z |"} | dict.fromkeys(range(2, 7), "|   |   |")
