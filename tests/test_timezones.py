@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 import zoneinfo
 
 import pytest
@@ -89,3 +90,36 @@ def test_changes_agree_with_the_zone(zone):
         t = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(seconds=at)
         assert t.astimezone(tz).utcoffset().total_seconds() == off
         assert (t - dt.timedelta(seconds=1)).astimezone(tz).utcoffset().total_seconds() != off
+
+
+def _truth(zone, local):
+    """UTC of a local time by the zone database, or ``ambiguous`` or ``never``."""
+    tz = zoneinfo.ZoneInfo(zone)
+    epoch = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
+    fits = set()
+    for fold in (0, 1):
+        u = local.replace(tzinfo=tz, fold=fold).astimezone(dt.timezone.utc)
+        if u.astimezone(tz).replace(tzinfo=None) == local:
+            fits.add((u - epoch) // dt.timedelta(microseconds=1))
+    return fits.pop() if len(fits) == 1 else "ambiguous" if fits else "never"
+
+
+def test_years_from_1900_to_2200_in_fifty_zones(spark):
+    rng = random.Random(3)
+    zones = rng.sample(sorted(z for z in zoneinfo.available_timezones() if "/" in z and not z.startswith(("posix", "right", "Etc"))), 46)
+    zones += ["America/New_York", "Europe/London", "Australia/Lord_Howe", "Africa/Casablanca"]
+    data = []
+    for zone in zones:
+        changes = [c for c in offset_changes(zone) if c[0] > -2_200_000_000]
+        for _ in range(60):
+            data.append((zone, dt.datetime(rng.randint(1900, 2200), rng.randint(1, 12), rng.randint(1, 28), rng.randint(0, 23), rng.randint(0, 59), rng.randint(0, 59))))
+        for at, off in rng.sample(changes, min(20, len(changes))):  # near the changes
+            data.append((zone, dt.datetime(1970, 1, 1) + dt.timedelta(seconds=at + off + rng.randint(-7300, 7300))))
+        for year in (2037, 2100, 2101, 2129, 2200, 2400, 9998):
+            data.append((zone, dt.datetime(year, rng.choice((3, 4, 10, 11)), rng.randint(1, 28), 2, 30)))
+        data += [(zone, dt.datetime(2199, 12, 31, 23, 59, 59)), (zone, dt.datetime(2200, 1, 1)), (zone, dt.datetime(1900, 1, 1))]
+    df = spark.createDataFrame([(i, z, t.isoformat(sep=" ")) for i, (z, t) in enumerate(data)], "i int, z string, s string")
+    got = {r["i"]: r["utc_us"] if r["time_case"] == "zone" else r["time_case"] for r in to_utc(df, F.col("s"), F.col("z"), F.lit("dmy")).collect()}
+    wrong = [(z, t, got[i]) for i, (z, t) in enumerate(data) if got[i] != _truth(z, t)]
+    assert not wrong
+    assert {"ambiguous", "never"} <= set(got.values())
