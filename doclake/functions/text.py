@@ -114,9 +114,40 @@ def retry_after(c: Column) -> Column:
     return F.greatest(F.coalesce(strip(c).try_cast("int"), F.lit(0)), F.lit(0))
 
 
+def _bind(c: Column, f) -> Column:
+    """``f`` of ``c``, evaluated once however often ``f`` uses it."""
+    return F.transform(F.array(c), f)[0]
+
+
 def number_text(x: Column) -> Column:
     """A double in plain decimal notation with the fewest digits that tell it from its neighbours, '' for null."""
-    text = x.cast("string")
-    plain = F.when(text.rlike("E-"), F.concat(F.lit(""), text.try_cast("decimal(38,30)").cast("string"))).otherwise(text.try_cast("decimal(38,12)").cast("string"))
-    short = F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.coalesce(F.when(short == "-0", "0").otherwise(short), F.lit(""))
+    pattern = r"^(-?)(\d+)\.?(\d*)(?:E(-?\d+))?$"
+    part = lambda t, i: F.regexp_extract(t, pattern, i)
+
+    def split(t: Column) -> Column:
+        """Sign, digits without zeros around them, and where the point stands before the first of them."""
+        return _bind(
+            F.struct(part(t, 1).alias("sign"), F.concat(part(t, 2), part(t, 3)).alias("all"), (F.length(part(t, 2)) + F.coalesce(part(t, 4).try_cast("int"), F.lit(0))).alias("point")),
+            lambda p: F.struct(p["sign"].alias("sign"), F.btrim(p["all"], F.lit("0")).alias("digits"), (p["point"] - F.length(p["all"]) + F.length(F.ltrim(p["all"], F.lit("0")))).alias("point")),
+        )
+
+    def shorter(p: Column) -> Column:
+        """With one digit less, where that is still the same number: the JVM may write up to two too many."""
+        head = F.left(p["digits"], F.length(p["digits"]) - 1)
+        up = F.lpad((head.try_cast("decimal(20,0)") + 1).cast("string"), F.length(head), F.lit("0"))
+        same = lambda d: F.concat(p["sign"], F.lit("0."), d, F.lit("E"), p["point"].cast("string")).try_cast("double") == x
+        first, second = (F.when(F.right(p["digits"], F.lit(1)) >= "5", c).otherwise(o) for c, o in ((up, head), (head, up)))
+        digits = F.when(F.length(head) < 1, p["digits"]).when(same(first), first).when(same(second), second).otherwise(p["digits"])
+        return F.struct(p["sign"].alias("sign"), F.rtrim(digits, F.lit("0")).alias("digits"), p["point"].alias("point"))
+
+    def plain(p: Column) -> Column:
+        d, at, n = p["digits"], p["point"], F.length(p["digits"])
+        shown = (
+            F.when(at <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -at), d))
+            .when(at >= n, F.concat(d, F.repeat(F.lit("0"), at - n)))
+            .otherwise(F.concat(F.left(d, at), F.lit("."), F.substring(d, at + 1, n)))
+        )
+        return F.when(d == "", "0").otherwise(F.concat(p["sign"], shown))
+
+    text = _bind(_bind(_bind(split(x.cast("string")), shorter), shorter), plain)
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), "").otherwise(text)

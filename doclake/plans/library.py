@@ -46,19 +46,26 @@ def _ledger(spark: SparkSession, d: str) -> DataFrame:
 _LEDGER = f"led AS (SELECT * REPLACE ({_id('id')} AS id, {_id('parent_id')} AS parent_id) FROM ledger_documents)"
 
 
-def _snapshot(spark: SparkSession, d: str, no: int) -> DataFrame:
+def _snapshot_rows(spark: SparkSession, d: str, back: int) -> DataFrame:
+    """The rows of the newest snapshot (``back`` 0) or of the one before it (1); none where there are too few."""
+    s = table(spark, d, "ledger_snapshots")
+    numbers = [r[0] for r in s.select("snap_no").where("snap_no IS NOT NULL").distinct().orderBy(F.desc("snap_no")).limit(back + 1).collect()]
+    return s.where(F.col("snap_no") == numbers[back] if len(numbers) > back else F.lit(False))
+
+
+def _snapshot(spark: SparkSession, d: str, back: int) -> DataFrame:
     """One full snapshot as rows of the ledger; of repeated ids the latest load."""
-    s = table(spark, d, "ledger_snapshots").where(F.col("snap_no") == no).withColumn("id", canonical_id(F.col("id"))).where("id IS NOT NULL")
+    s = _snapshot_rows(spark, d, back).withColumn("id", canonical_id(F.col("id"))).where("id IS NOT NULL")
     cols = ["loaded_at", "local_path", "remote_edited", "content_hash", "status", "platform", "title", "type"]
     best = s.groupBy("id").agg(F.max(F.struct(*cols)).alias("r"))
     return best.select("id", F.col("r.platform").alias("platform"), F.col("r.local_path").alias("path"), F.col("r.remote_edited").alias("edited"), F.col("r.content_hash").alias("hash"), F.col("r.status").alias("status"), F.col("r.title").alias("title"), F.col("r.type").alias("type"))
 
 
-def _snap_sql(name: str, no: int) -> str:
+def _snap_sql(name: str, back: int) -> str:
     return f"""{name} AS (SELECT id, r.platform AS platform, r.local_path AS path, r.remote_edited AS edited, r.content_hash AS hash, r.status AS status, r.title AS title, r.type AS type FROM (
   SELECT {_id('id')} AS id, arg_max(struct_pack(platform := platform, local_path := local_path, remote_edited := remote_edited, content_hash := content_hash, status := status, title := title, type := type),
     [epoch_us(loaded_at)::VARCHAR, coalesce(local_path, ''), coalesce(remote_edited, ''), coalesce(content_hash, ''), coalesce(status, ''), coalesce(platform, ''), coalesce(title, ''), coalesce(type, '')]) AS r
-  FROM ledger_snapshots WHERE snap_no = {no} GROUP BY 1) WHERE id IS NOT NULL)"""
+  FROM ledger_snapshots WHERE snap_no = (SELECT DISTINCT snap_no FROM ledger_snapshots WHERE snap_no IS NOT NULL ORDER BY 1 DESC LIMIT 1 OFFSET {back}) GROUP BY 1) WHERE id IS NOT NULL)"""
 
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
@@ -275,7 +282,7 @@ def slugs(spark, d):
 
 # ---------------------------------------------------------------- changes
 
-_CDC = f"""{_snap_sql('now', 7)}, {_snap_sql('old', 6)}, j AS (SELECT coalesce(now.id, old.id) AS id, coalesce(now.platform, old.platform) AS platform, now.id AS new_id, old.id AS old_id, coalesce(old.status = 'active', false) AS active, old.status AS old_status,
+_CDC = f"""{_snap_sql('now', 0)}, {_snap_sql('old', 1)}, j AS (SELECT coalesce(now.id, old.id) AS id, coalesce(now.platform, old.platform) AS platform, now.id AS new_id, old.id AS old_id, coalesce(old.status = 'active', false) AS active, old.status AS old_status,
   old.path AS old_path, now.path AS new_path, now.edited AS ne, old.edited AS oe, now.hash AS nh, old.hash AS oh FROM now FULL JOIN old ON now.id = old.id),
 cdc AS (SELECT id, platform, CASE WHEN new_id IS NULL THEN CASE WHEN active THEN 'gone' END WHEN old_id IS NULL THEN 'added'
    WHEN (active AND coalesce(ne, '') <> '' AND ne IS NOT DISTINCT FROM oe) OR (active AND nh IS NOT NULL AND nh IS NOT DISTINCT FROM oh) THEN 'skipped' ELSE 'updated' END AS outcome,
@@ -285,7 +292,7 @@ cdc AS (SELECT id, platform, CASE WHEN new_id IS NULL THEN CASE WHEN active THEN
 @query(f"WITH {_CDC} SELECT * FROM cdc WHERE outcome IS NOT NULL")
 def cdc_classify(spark, d):
     """The newest snapshot as an inventory against the one before as the ledger."""
-    return changes.classify(_snapshot(spark, d, 7), _snapshot(spark, d, 6))
+    return changes.classify(_snapshot(spark, d, 0), _snapshot(spark, d, 1))
 
 
 @query(f"WITH {_CDC} SELECT platform, outcome, moved, count(*) AS n FROM cdc WHERE outcome IS NOT NULL GROUP BY ALL")
@@ -299,11 +306,11 @@ def moves(spark, d):
 
 
 @query(
-    f"""WITH {_snap_sql('now', 7)}, {_snap_sql('old', 6)}, a AS (SELECT platform, count(*) AS n FROM old WHERE status = 'active' GROUP BY 1), s AS (SELECT platform, count(*) AS n FROM now GROUP BY 1)
+    f"""WITH {_snap_sql('now', 0)}, {_snap_sql('old', 1)}, a AS (SELECT platform, count(*) AS n FROM old WHERE status = 'active' GROUP BY 1), s AS (SELECT platform, count(*) AS n FROM now GROUP BY 1)
 SELECT o.platform, o.id, o.path FROM old o JOIN a USING (platform) LEFT JOIN s USING (platform) WHERE o.status = 'active' AND coalesce(s.n, 0) >= a.n * 0.8 AND o.id NOT IN (SELECT id FROM now)"""
 )
 def deletes_guarded(spark, d):
-    return changes.guarded_deletes(_snapshot(spark, d, 7), _snapshot(spark, d, 6))
+    return changes.guarded_deletes(_snapshot(spark, d, 0), _snapshot(spark, d, 1))
 
 
 @query("SELECT id, status, synced_at FROM ledger_documents WHERE NOT (status IS NOT DISTINCT FROM 'trashed' AND coalesce(synced_at, '~') < '2025-05-01T00:00:00Z') AND status IS NOT NULL")
@@ -319,10 +326,10 @@ def trash_buckets(spark, d):
     return table(spark, d, "ledger_documents").where((F.col("status") == "trashed") & (day.try_cast("date") < F.lit("2025-05-20").cast("date"))).groupBy(day.alias("day")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_snap_sql('now', 7)}, {_snap_sql('old', 6)} SELECT id, platform, path, status FROM now UNION ALL SELECT id, platform, path, status FROM old WHERE id NOT IN (SELECT id FROM now)")
+@query(f"WITH {_snap_sql('now', 0)}, {_snap_sql('old', 1)} SELECT id, platform, path, status FROM now UNION ALL SELECT id, platform, path, status FROM old WHERE id NOT IN (SELECT id FROM now)")
 def snapshot_merge(spark, d):
     cols = ["id", "platform", "path", "status"]
-    return ledger.upsert(_snapshot(spark, d, 6).select(*cols), _snapshot(spark, d, 7).select(*cols), ["id"])
+    return ledger.upsert(_snapshot(spark, d, 1).select(*cols), _snapshot(spark, d, 0).select(*cols), ["id"])
 
 
 @query(f"WITH {_LINKS} SELECT DISTINCT from_id, to_id FROM li WHERE from_id IS NOT NULL AND to_id IS NOT NULL")

@@ -8,7 +8,7 @@ from doclake.functions import markup as M
 from doclake.functions import properties as P
 from doclake.functions.ids import canonical_id
 from doclake.operators import incremental, indexes, rewrite
-from doclake.plans.library import _ALIASES, _LEDGER, _LINKS, _NOTION, _aliases, _fields, _ledger, _links, _records, _snap_sql, _snapshot, front_matter, notion_inventory, render_properties
+from doclake.plans.library import _ALIASES, _LEDGER, _LINKS, _NOTION, _aliases, _fields, _ledger, _links, _records, _snap_sql, _snapshot, _snapshot_rows, front_matter, notion_inventory, render_properties
 from doclake.plans.library import ORACLES as _LIBRARY_SQL
 from doclake.session import ship, table
 
@@ -61,14 +61,14 @@ def assembled_files(spark, d):
 
 
 @query(
-    f"""WITH {_snap_sql('now', 7)}, {_snap_sql('old', 6)},
+    f"""WITH {_snap_sql('now', 0)}, {_snap_sql('old', 1)},
 a AS (SELECT DISTINCT unnest(list_transform(range(1, len(s)), lambda i: array_to_string(s[1:i], '/'))) AS dir FROM (SELECT string_split(path, '/') AS s FROM old WHERE path IS NOT NULL)),
 b AS (SELECT DISTINCT unnest(list_transform(range(1, len(s)), lambda i: array_to_string(s[1:i], '/'))) AS dir FROM (SELECT string_split(path, '/') AS s FROM now WHERE path IS NOT NULL))
 SELECT dir FROM a EXCEPT SELECT dir FROM b"""
 )
 def dirs_left_empty(spark, d):
     """Directories that the newest snapshot no longer fills."""
-    return rewrite.dirs_left_empty(_snapshot(spark, d, 6), _snapshot(spark, d, 7))
+    return rewrite.dirs_left_empty(_snapshot(spark, d, 1), _snapshot(spark, d, 0))
 
 
 _IMG = M.IMAGE.replace("'", "''")
@@ -105,22 +105,22 @@ def dirty_databases(spark, d):
 
 
 def _new_docs(spark, d):
-    s = table(spark, d, "ledger_snapshots").where("snap_no = 7").select(canonical_id(F.col("id")).alias("id"), canonical_id(F.col("parent_id")).alias("parent_id"), "loaded_at").where("id IS NOT NULL")
+    s = _snapshot_rows(spark, d, 0).select(canonical_id(F.col("id")).alias("id"), canonical_id(F.col("parent_id")).alias("parent_id"), "loaded_at").where("id IS NOT NULL")
     parent = s.groupBy("id").agg(F.max_by(F.struct("parent_id"), F.struct("loaded_at", "parent_id")).alias("p")).select("id", F.col("p.parent_id").alias("parent_id"))
-    return _snapshot(spark, d, 7).join(parent, "id").withColumn("ord", F.xxhash64("id"))
+    return _snapshot(spark, d, 0).join(parent, "id").withColumn("ord", F.xxhash64("id"))
 
 
 @query()
 def incremental_placement(spark, d):
     """Where the newest snapshot's new documents go beside those of the one before."""
-    old = _snapshot(spark, d, 6).withColumnRenamed("path", "local_path")
+    old = _snapshot(spark, d, 1).withColumnRenamed("path", "local_path")
     return incremental.place_new(_new_docs(spark, d), old)
 
 
 @query()
 def new_directories(spark, d):
     """Leaves that become directories as they get their first child."""
-    old = _snapshot(spark, d, 6).withColumnRenamed("path", "local_path")
+    old = _snapshot(spark, d, 1).withColumnRenamed("path", "local_path")
     fresh = _new_docs(spark, d).join(old.select("id"), "id", "left_anti")
     return incremental.new_directories(fresh, old)
 

@@ -46,7 +46,9 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    own = os.environ.setdefault("DOCLAKE_LOCAL_SHARED", tempfile.mkdtemp(prefix="doclake-shared-"))
+    own = os.environ.get("DOCLAKE_LOCAL_SHARED")
+    if not own:
+        own = os.environ["DOCLAKE_LOCAL_SHARED"] = tempfile.mkdtemp(prefix="doclake-shared-")
     os.makedirs(own, exist_ok=True)
     return f"file://{own}"
 
