@@ -44,7 +44,7 @@ def mark(rows: DataFrame, keys: DataFrame, on: str, **values: Column) -> DataFra
 
 def purge_trashed(docs: DataFrame, before: str) -> DataFrame:
     """``docs`` without the trashed ones last synced before ``before`` (RFC 3339 text); unknown sync times stay."""
-    return docs.where(~((F.col("status") == "trashed") & (F.coalesce("synced_at", F.lit("~")) < before)))
+    return docs.where(~((F.coalesce("status", F.lit("")) == "trashed") & (F.coalesce("synced_at", F.lit("~")) < before)))
 
 
 def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:

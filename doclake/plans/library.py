@@ -39,6 +39,13 @@ _id = canonical_id_sql
 # ---------------------------------------------------------------- relations
 
 
+def _object_sql(c: str) -> str:
+    """The object that a JSON text holds, directly or as the content of a string, else '{}'. DuckDB's parser lets a comma
+    before a closing bracket pass, which isn't JSON."""
+    held = f"CASE WHEN json_valid({c}) AND json_type({c}) = 'VARCHAR' THEN json_extract_string({c}, '$') ELSE {c} END"
+    return f"CASE WHEN json_valid({held}) AND json_type({held}) = 'OBJECT' AND NOT regexp_matches({held}, ',\\s*[}}\\]]') THEN {held} ELSE '{{}}' END"
+
+
 def _ledger(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "ledger_documents").withColumns({"id": canonical_id(F.col("id")), "parent_id": canonical_id(F.col("parent_id"))})
 
@@ -137,6 +144,12 @@ def uniqueness_violations(spark, d):
     return ledger.duplicates(table(spark, d, "ledger_documents"), ["local_path"])
 
 
+@query("SELECT platform, title, count(*) AS n FROM ledger_documents WHERE platform IS NOT NULL AND title IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
+def repeated_titles(spark, d):
+    """Titles that several documents of a platform share."""
+    return ledger.duplicates(table(spark, d, "ledger_documents"), ["platform", "title"])
+
+
 @query("SELECT platform, string_agg(status || '=' || n, ' ' ORDER BY status) AS counts FROM (SELECT platform, status, count(*) AS n FROM ledger_documents WHERE status IS NOT NULL GROUP BY ALL) GROUP BY platform")
 def status_line(spark, d):
     c = table(spark, d, "ledger_documents").where("status IS NOT NULL").groupBy("platform", "status").agg(F.count("*").alias("n"))
@@ -313,17 +326,32 @@ def deletes_guarded(spark, d):
     return changes.guarded_deletes(_snapshot(spark, d, 0), _snapshot(spark, d, 1))
 
 
-@query("SELECT id, status, synced_at FROM ledger_documents WHERE NOT (status IS NOT DISTINCT FROM 'trashed' AND coalesce(synced_at, '~') < '2025-05-01T00:00:00Z') AND status IS NOT NULL")
+#: Days that trashed documents are kept.
+RETENTION = 30
+
+
+def _retention_cutoff(rows: DataFrame) -> str:
+    """RETENTION days before the last sync, as the ledger writes times."""
+    last = rows.agg(F.max(F.to_timestamp("synced_at")).alias("t"))
+    return last.select(F.date_format(F.col("t") - F.expr(f"INTERVAL {RETENTION} DAYS"), "yyyy-MM-dd'T'HH:mm:ss'Z'")).first()[0] or ""
+
+
+_CUTOFF = f"c AS (SELECT strftime(max(CAST(synced_at AS TIMESTAMP)) - INTERVAL {RETENTION} DAY, '%Y-%m-%dT%H:%M:%SZ') AS cutoff FROM ledger_snapshots)"
+
+
+@query(f"WITH {_CUTOFF} SELECT snap_no, id, status, synced_at FROM ledger_snapshots, c WHERE NOT (coalesce(status, '') = 'trashed' AND coalesce(synced_at, '~') < cutoff)")
 def trash_purged(spark, d):
-    """The ledger after the retention cutoff."""
-    return ledger.purge_trashed(table(spark, d, "ledger_documents").where("status IS NOT NULL"), "2025-05-01T00:00:00Z").select("id", "status", "synced_at")
+    """All snapshots after the retention cutoff."""
+    rows = table(spark, d, "ledger_snapshots")
+    return ledger.purge_trashed(rows, _retention_cutoff(rows)).select("snap_no", "id", "status", "synced_at")
 
 
-@query("SELECT left(synced_at, 10) AS day, count(*) AS n FROM ledger_documents WHERE status = 'trashed' AND TRY_CAST(left(synced_at, 10) AS DATE) < DATE '2025-05-20' GROUP BY 1")
+@query(f"WITH {_CUTOFF} SELECT left(synced_at, 10) AS day, count(*) AS n FROM ledger_snapshots, c WHERE status = 'trashed' AND left(synced_at, 10) < left(cutoff, 10) GROUP BY 1")
 def trash_buckets(spark, d):
-    """Day buckets of the trash that are older than the cutoff day."""
+    """Day buckets of the trash, over all snapshots, that are older than the cutoff's day."""
+    rows = table(spark, d, "ledger_snapshots")
     day = F.left("synced_at", F.lit(10))
-    return table(spark, d, "ledger_documents").where((F.col("status") == "trashed") & (day.try_cast("date") < F.lit("2025-05-20").cast("date"))).groupBy(day.alias("day")).agg(F.count("*").alias("n"))
+    return rows.where((F.col("status") == "trashed") & (day < _retention_cutoff(rows)[:10])).groupBy(day.alias("day")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_snap_sql('now', 0)}, {_snap_sql('old', 1)} SELECT id, platform, path, status FROM now UNION ALL SELECT id, platform, path, status FROM old WHERE id NOT IN (SELECT id FROM now)")
@@ -499,11 +527,11 @@ def content_hash(spark, d):
 
 
 @query(
-    """SELECT doc_id, '"' || replace(replace(replace(replace(replace(left(text, 400), '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t') || '"' AS quoted,
-  replace(replace(left(text, 400), '[', '\\['), ']', '\\]') AS label FROM documents WHERE text IS NOT NULL"""
+    """SELECT doc_id, '"' || replace(replace(replace(replace(replace(text, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t') || '"' AS quoted,
+  replace(replace(text, '[', '\\['), ']', '\\]') AS label FROM documents WHERE text IS NOT NULL"""
 )
 def quoted_texts(spark, d):
-    """The whole texts, quoted for YAML and escaped for a link. The SQL above cuts them to 400 characters: equal only up to there."""
+    """The whole texts, quoted for YAML and escaped for a link."""
     text = F.col("text")
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", X.yaml_quote(text).alias("quoted"), X.link_text(text).alias("label"))
 
@@ -546,7 +574,7 @@ def _fields(c: Column) -> Column:
 
 def _unwrapped(text: str) -> Column:
     """The content of a text that is one JSON string, other texts as they are. Of what is no object then (null, empty, broken,
-    another kind of value) :func:`_fields` gives null. The SQL here doesn't unwrap: it leaves out objects within strings."""
+    another kind of value) :func:`_fields` gives null."""
     c = F.col(text)
     one = F.from_json(F.when(c.rlike(r'^\s*"'), F.concat(F.lit("["), c, F.lit("]"))), "array<string>")
     return F.when(c.rlike(r'^\s*"'), F.when(F.size(one) == 1, one[0])).otherwise(c)
@@ -565,17 +593,16 @@ def render_properties(spark, d):
     return p.select("raw_id", "name", "type", P.render_value(F.col("value")).alias("text"))
 
 
-# The SQL parser lets a comma before a closing bracket pass, which isn't JSON.
 @query(
-    """SELECT e.raw_id, count(*) AS n, count(DISTINCT e.type) AS types FROM (SELECT raw_id, json_extract_string(u.value, '$.type') AS type
-FROM query_rows, json_each(CASE WHEN json_valid(properties) AND json_type(properties) = 'OBJECT' AND NOT regexp_matches(properties, ',\\s*[}\\]]') THEN properties ELSE '{}' END) u) e GROUP BY e.raw_id"""
+    f"""SELECT e.raw_id, count(*) AS n, count(DISTINCT e.type) AS types FROM (SELECT raw_id, json_extract_string(u.value, '$.type') AS type
+FROM query_rows, json_each({_object_sql('properties')}) u) e GROUP BY e.raw_id"""
 )
 def property_types(spark, d):
     return _properties(spark, d).groupBy("raw_id").agg(F.count("*").alias("n"), F.countDistinct(F.get_json_object("value", "$.type")).alias("types"))
 
 
-_FLAT = """SELECT raw_id, u.key AS name, u.value AS value, json_extract_string(u.value, '$.type') AS type
-FROM query_rows, json_each(CASE WHEN json_valid(properties) AND json_type(properties) = 'OBJECT' AND NOT regexp_matches(properties, ',\\s*[}\\]]') THEN properties ELSE '{}' END) u"""
+_FLAT = f"""SELECT raw_id, u.key AS name, u.value AS value, json_extract_string(u.value, '$.type') AS type
+FROM query_rows, json_each({_object_sql('properties')}) u"""
 
 
 @query(
@@ -593,10 +620,9 @@ FROM query_rows, json_each(CASE WHEN json_valid(properties) AND json_type(proper
 FROM ({_FLAT}) WHERE type IN ('select', 'status', 'checkbox', 'url', 'email', 'phone_number', 'created_time', 'last_edited_time', 'date', 'created_by', 'last_edited_by', 'unique_id', 'multi_select', 'files', 'rich_text')"""
 )
 def render_plain_properties(spark, d):
-    """The property types that SQL can render, of rows that are an object themselves: those within a string are left out here, as by the SQL."""
+    """The property types that SQL can render."""
     kinds = "select status checkbox url email phone_number created_time last_edited_time date created_by last_edited_by unique_id multi_select files rich_text".split()
-    rows = table(spark, d, "query_rows").select("raw_id", F.explode(_fields(F.col("properties"))).alias("name", "value"))
-    p = rows.withColumn("type", F.get_json_object("value", "$.type")).where(F.col("type").isin(*kinds))
+    p = _properties(spark, d).withColumn("type", F.get_json_object("value", "$.type")).where(F.col("type").isin(*kinds))
     return p.select("raw_id", "name", "type", P.render_value(F.col("value")).alias("text"))
 
 
@@ -630,7 +656,7 @@ def bitable_cells(spark, d):
     return cells.select("raw_id", "field", P.cell_text(F.col("value")).alias("text"))
 
 
-@query("""SELECT table_id, space_id, u.key AS field, count(*) AS n FROM bitable_records, json_each(CASE WHEN json_valid(fields) AND json_type(fields) = 'OBJECT' AND NOT regexp_matches(fields, ',\\s*[}\\]]') THEN fields ELSE '{}' END) u GROUP BY ALL""")
+@query(f"""SELECT table_id, space_id, u.key AS field, count(*) AS n FROM bitable_records, json_each({_object_sql('fields')}) u GROUP BY ALL""")
 def bitable_schema(spark, d):
     """The fields of each table and how many records have them."""
     cells = _records(spark, d).select("space_id", "table_id", F.explode(F.map_keys(_fields(F.col("fields")))).alias("field"))
@@ -675,10 +701,10 @@ def unknown_blocks(spark, d):
 
 @query(
     """SELECT doc_id, CASE WHEN mark = '' THEN text ELSE mark || chr(10) || text END AS body FROM (SELECT doc_id, text,
-  concat_ws(chr(10), CASE WHEN n_chars > 6000 THEN '<!-- doclake:truncated -->' END, CASE WHEN n_cells > 12 THEN '<!-- doclake:unknown-blocks n="1" ids="' || repo || '" -->' END) AS mark FROM documents WHERE text IS NOT NULL AND repo IS NOT NULL AND n_cells IS NOT NULL AND n_chars IS NOT NULL)"""
+  concat_ws(chr(10), CASE WHEN n_chars > 6000 THEN '<!-- doclake:truncated -->' END, CASE WHEN n_cells > 12 THEN '<!-- doclake:unknown-blocks n="1" ids="' || repo || '" -->' END) AS mark FROM documents WHERE text IS NOT NULL)"""
 )
 def loss_markers(spark, d):
-    """Bodies after the markers of what they lost, of every row with a text: a null gives no marker. The SQL above leaves out rows with one."""
+    """Bodies after the markers of what they lost, of every row with a text: a null gives no marker."""
     t = table(spark, d, "documents").where("text IS NOT NULL")
     ids = F.when((F.col("n_cells") > 12) & F.col("repo").isNotNull(), F.array("repo")).otherwise(F.array().cast("array<string>"))
     return t.select("doc_id", M.loss_markers(F.col("text"), F.coalesce(F.col("n_chars") > 6000, F.lit(False)), ids).alias("body"))
