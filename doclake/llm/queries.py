@@ -22,6 +22,12 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_column(spread(_documents(spark, d, "doc_id", "text")), ["doc_id"])
 
 
+def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The length and digest of every document's text, decoded from its ids."""
+    texts = tokens.decode_column(p6_ids(spark, d), ["doc_id"])
+    return texts.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
+
+
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(_documents(spark, d, "doc_id", "source", "text"))
     counted = tokens.count_tokens(docs, ["doc_id", "source"])
@@ -58,5 +64,5 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return _index(spark, d).shared()
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_mix, p7_shares, p8_found, p8_spans)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p6_ids, p6_decoded, p7_mix, p7_shares, p8_found, p8_spans)}
+ORACLES: dict[str, str] = {"p6_decoded": "SELECT doc_id, length(coalesce(text, '')) AS n_chars, md5(coalesce(text, '')) AS digest FROM documents"}

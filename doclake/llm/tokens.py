@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 #: Fixed value: the pattern by which the public byte-level BPE vocabularies split text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TOKENIZERS = os.environ.get("DOCLAKE_TOKENIZERS", "/opt/tokenizers")
-#: Characters that the transducer holds at most before it must emit, and ids in one output batch.
-BLOCK, BATCH_IDS = 1 << 16, 1_000_000
+#: Characters that the transducer takes at a time and holds before it must emit, and ids in one output batch.
+BLOCK, BATCH_IDS = 1_024, 1_000_000
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -81,8 +81,6 @@ class Tokenizer:
         """The ids of a text; none for null and empty. Strings that look like special tokens are plain text."""
         if not text:
             return np.zeros(0, np.uint32)
-        if len(text) <= BLOCK:
-            return self.pieces.encode_to_numpy(text, disallowed_special=())
         e = Encoder(self)
         parts = [e.push(text[i : i + BLOCK]) for i in range(0, len(text), BLOCK)]
         return np.concatenate([*parts, e.finish()])
@@ -147,6 +145,8 @@ class Encoder:
                     last = m.end()
                 self.held = self.held[last:]
                 if not last:
+                    if _PIECE.match(self.held).end() < len(self.held):
+                        break  # the first piece ends at the window's end: a few more characters decide
                     # One piece fills the window; its class is that of its last character.
                     self.run = next(r for r in _RUNS if r.fullmatch(self.held[-1]))
                     out.append(self._settle())
@@ -244,6 +244,28 @@ def encode_column(df: DataFrame, keys: list[str], text: str = "text", vocabulary
     return df.select(*keys, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
+def decode_column(df: DataFrame, keys: list[str], ids: str = "ids", vocabulary: str | None = None) -> DataFrame:
+    """``keys`` and ``text`` of every row of ``df``: the text that the array ``ids`` stands for, decoded BLOCK ids at a time.
+
+    Null and empty arrays give an empty text; ids that end within a character give U+FFFD there; ids that the vocabulary
+    hasn't are an error.
+    """
+    held = _vocabulary(df, vocabulary or f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("text", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = _tokenizer(*held.value)
+        for batch in batches:
+            texts = []
+            for row in batch.column(len(keys)):
+                d = Decoder(t)
+                each = row.values.to_numpy() if row.is_valid else ()
+                texts.append("".join([*(d.push(each[i : i + BLOCK]) for i in range(0, len(each), BLOCK)), d.finish()]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*keys, "text"])
+
+    return df.select(*keys, F.col(ids).alias("_ids")).mapInArrow(run, schema)
+
+
 def count_tokens(df: DataFrame, keys: list[str], text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """``keys`` and ``n_tokens`` of every row of ``df``; 0 for null and empty texts."""
     held = _vocabulary(df, vocabulary or f"{TOKENIZERS}/byte_bpe_50k.tiktoken")

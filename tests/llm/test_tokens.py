@@ -47,6 +47,16 @@ def test_streaming_equals_whole(tokenizer):
             assert most <= block + step  # constant memory
 
 
+def test_a_piece_that_ends_at_the_end_of_the_window(tokenizer):
+    for block in (532, 1024):
+        for tail in ("\n\n", " x", "'s", "\n", "..", "1", "\n\nx"):
+            for n in range(block - 6, block + 2):
+                s = "q" * n + tail
+                e = K.Encoder(tokenizer, block)
+                got = [i for at in range(0, len(s), block) for i in e.push(s[at : at + block]).tolist()] + e.finish().tolist()
+                assert got == whole(tokenizer, s)
+
+
 def test_random_vocabularies_settle():
     import numpy as np
 
@@ -88,3 +98,12 @@ def test_column_with_nulls_blanks_and_long_texts(spark, tokenizer):
     assert 50256 not in got[4][1]
     assert K.encode_column(df.limit(0), ["doc_id"]).count() == 0
     assert [r.n_tokens for r in K.count_tokens(df, ["doc_id"]).collect()] == [len(x[1]) for x in got]
+
+
+def test_decoding_a_column(spark):
+    rows = [(1, "a 汉字 🙂 " * 700), (2, ""), (3, None), (1, "x")]
+    ids = K.encode_column(spark.createDataFrame(rows, "k int, text string"), ["k"])
+    got = sorted((r["k"], r["text"]) for r in K.decode_column(ids, ["k"]).collect())
+    assert got == sorted((k, s or "") for k, s in rows)
+    broken = spark.createDataFrame([(1, [255, 0]), (2, None), (3, [])], "k int, ids array<int>")
+    assert [r["text"] for r in K.decode_column(broken, ["k"]).orderBy("k").collect()][1:] == ["", ""]
