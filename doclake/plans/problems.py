@@ -14,21 +14,21 @@ from doclake.operators import timezones as Z
 from doclake.session import ship, spread, table
 
 
-def _striped(spark: SparkSession, d: str) -> DataFrame:
+def _raw_records(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
     rows = table(spark, d, "query_rows").select(F.lit("query_rows").alias("src"), "raw_id", F.col("properties").alias("text"))
     cells = table(spark, d, "bitable_records").select(F.lit("bitable_records").alias("src"), "raw_id", F.col("fields").alias("text"))
-    return S.shred(spread(rows.unionByName(cells)), ["src", "raw_id"], "text")
+    return spread(rows.unionByName(cells))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Every inner object and array member of the raw records, with the one around it."""
-    return S.nodes(_striped(spark, d), ["src", "raw_id"])
+    return S.nodes(_raw_records(spark, d), ["src", "raw_id"], "text")
 
 
 def p1_tables(spark: SparkSession, d: str) -> DataFrame:
     """The related flat tables of the raw records."""
-    return S.tables(_striped(spark, d), ["src", "raw_id"])
+    return S.tables(_raw_records(spark, d), ["src", "raw_id"], "text")
 
 
 _TIMES = (("notion_objects", "last_edited_time"), ("feishu_metas", "latest_modify_time"), ("drive_files", "modified_time"))
