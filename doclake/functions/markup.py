@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 import re
 
 import pandas as pd
@@ -11,16 +10,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-IMAGE = r"!\[([^\]]*)\]\(([^)\s]+)(?:\s+\"[^\"]*\")?\)"
-LINK = r"\[([^\]]*)\]\(<?([^)>\s]+)>?\)"
+from doclake.functions.ids import canonical_id
+from doclake.functions.urls import DOC_DOMAINS, doc_token
+
+#: A Markdown image: its description, which may hold bracketed text once; the target; a title that isn't kept.
+_LABEL = r"(?:[^\[\]]|\[[^\[\]]*\])*"
+IMAGE = r"!\[(" + _LABEL + r")\]\([ \t]*<?([^\s<>()]+)>?(?:[ \t]+(?:\"[^\"]*\"|'[^']*'))?[ \t]*\)"
 TAG = r"<([A-Za-z][A-Za-z0-9_-]*)"
-HREF = r"href=\"([^\"]+)\""
-DOC_URL = r"https?://[^\s)\"'<>]+/(?:docx|wiki|base|sheets|file|docs)/([A-Za-z0-9]+)"
-#: Tags that are known not to be a loss.
-KNOWN_TAGS = tuple(
-    "page database synced_block empty-block column columns column_list callout toggle table table_row a p div span br hr b i u s "
-    "strong em code pre blockquote mark del ins sub sup ul ol li h1 h2 h3 h4 h5 h6 thead tbody tr td th colgroup col img".split()
+#: Tags that are known not to be a loss, of all platforms and of one only.
+_HTML = (
+    "a", "p", "div", "span", "br", "hr", "b", "i", "u", "s", "strong", "em", "code", "pre", "blockquote", "mark", "del", "ins", "sub", "sup",
+    "ul", "ol", "li", "h1", "h2", "h3", "h4", "h5", "h6", "table", "thead", "tbody", "tr", "td", "th", "colgroup", "col", "img",
 )
+KNOWN_TAGS = (*_HTML, "page", "database", "synced_block", "empty-block", "column", "columns", "column_list", "callout", "toggle", "table_row")
+FEISHU_TAGS = (*_HTML, "callout", "sheet", "base_refer", "bitable", "whiteboard", "title", "iframe")
 
 
 def images(body: Column) -> Column:
@@ -28,19 +31,62 @@ def images(body: Column) -> Column:
     return F.regexp_extract_all(body, F.lit(IMAGE), F.lit(2))
 
 
-def links(body: Column) -> Column:
-    """The targets of Markdown links and images, in order."""
-    return F.regexp_extract_all(body, F.lit(LINK), F.lit(2))
+def asset_key(url: Column) -> Column:
+    """What names an asset: its URL without query and fragment."""
+    return F.regexp_replace(url, r"[?#].*$", "")
 
 
-def doc_tokens(body: Column) -> Column:
-    """The document tokens of document URLs, each once, in order of first sight."""
-    return F.array_distinct(F.regexp_extract_all(body, F.lit(DOC_URL), F.lit(1)))
+_TAG_OF = r"<{0}(?:[\s/][^>]*)?>"
 
 
-def asset_key(url: Column) -> Column:
-    """What names an asset: its URL without query and fragment."""
-    return F.regexp_replace(url, r"[?#].*$", "")
+def tags_of(body: Column, name: str) -> Column:
+    """The opening tags of one name, whole, in order."""
+    return F.regexp_extract_all(body, F.lit(_TAG_OF.format(name)), F.lit(0))
+
+
+def first_of(rows: Column, key: str) -> Column:
+    """The members of an array of structs whose ``key`` is neither null, empty nor that of a member before."""
+    keys = F.transform(rows, lambda r: r[key])
+    return F.filter(rows, lambda r, i: r[key].isNotNull() & (r[key] != "") & (F.array_position(keys, r[key]) == i + 1))
+
+
+def page_links(body: Column) -> Column:
+    """(target, url) of what a page body refers to: pages by the id in their URL, databases by the id of their data source;
+    each target once, in order of kind and first sight."""
+    url = lambda tag: attributes(tag)["url"]
+    pages = F.transform(tags_of(body, "page"), lambda t: F.struct(canonical_id(F.nullif(F.regexp_extract(url(t), "([0-9a-fA-F]{32})", 1), F.lit(""))).alias("target"), url(t).alias("url")))
+    source = lambda tag: F.regexp_extract(attributes(tag)["data-source-url"], "^collection://([0-9a-fA-F-]{32,36})", 1)
+    databases = F.transform(tags_of(body, "database"), lambda t: F.struct(canonical_id(source(t)).alias("target"), url(t).alias("url")))
+    return first_of(F.concat(pages, databases), "target")
+
+
+def entities_undone(c: Column) -> Column:
+    """The five predefined entities as characters; the ampersand's last, so that nothing is undone twice."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(entity), F.lit(char))
+    return c
+
+
+def href_links(body: Column, doc_domains=DOC_DOMAINS) -> Column:
+    """(target, url) of the document URLs that ``href`` attributes hold, each target once, in order of first sight."""
+    found = F.regexp_extract_all(body, F.lit(r"href=\"([^\"]*)\""), F.lit(1))
+    return first_of(F.transform(found, lambda u: F.struct(doc_token(entities_undone(u), (), doc_domains).alias("target"), entities_undone(u).alias("url"))), "target")
+
+
+def xml_images(body: Column) -> Column:
+    """(src, href, name) of the images of an XML body, in order; null where an attribute is missing."""
+    return F.transform(tags_of(body, "img"), lambda t: F.struct(attributes(t)["src"].alias("src"), entities_undone(attributes(t)["href"]).alias("href"), attributes(t)["name"].alias("name")))
+
+
+def whiteboard_tokens(body: Column) -> Column:
+    return F.filter(F.transform(tags_of(body, "whiteboard"), lambda t: attributes(t)["token"]), lambda t: t.isNotNull())
+
+
+def matched_images(markdown: Column, xml: Column) -> Column:
+    """(key, url, body_url, name): the n-th Markdown image is the n-th XML image; surplus ones of either are left out, as are
+    those without a token."""
+    pairs = F.zip_with(images(markdown), xml_images(xml), lambda m, x: F.struct(x["src"].alias("key"), x["href"].alias("url"), entities_undone(m).alias("body_url"), x["name"].alias("name")))
+    return F.filter(F.slice(pairs, 1, F.least(F.size(images(markdown)), F.size(xml_images(xml)))), lambda p: p["key"].isNotNull() & (p["key"] != ""))
 
 
 def attributes(tag: Column) -> Column:
@@ -55,9 +101,13 @@ _TICK, _LINE = re.compile("`|\n"), re.compile(r"[^\n]+")
 
 
 def _blanked(s: str, spans: list[tuple[int, int]]) -> str:
-    for a, b in reversed(spans):
-        s = s[:a] + _LINE.sub(lambda m: " " * len(m[0]), s[a:b]) + s[b:]
-    return s
+    if not spans:
+        return s
+    parts, at = [], 0
+    for a, b in spans:
+        parts += [s[at:a], _LINE.sub(lambda m: " " * len(m[0]), s[a:b])]
+        at = b
+    return "".join([*parts, s[at:]])
 
 
 def mask_text(s: str | None) -> str | None:
@@ -100,11 +150,6 @@ def mask_regions(s: pd.Series) -> pd.Series:
     return s.map(mask_text, na_action="ignore")
 
 
-@pandas_udf(T.StringType())
-def html_unescape(s: pd.Series) -> pd.Series:
-    return s.map(html.unescape, na_action="ignore")
-
-
 def unknown_tags(masked: Column, known: tuple[str, ...] = KNOWN_TAGS) -> Column:
     """The names of opening tags outside masked regions that aren't known, in order and with repeats."""
     found = F.transform(F.regexp_extract_all(masked, F.lit(TAG), F.lit(1)), lambda t: F.lower(t))
@@ -134,11 +179,6 @@ def swap_destination(body: Column, old: Column, new: Column) -> Column:
     return body
 
 
-def count_of(body: Column, part: Column) -> Column:
-    """How often ``part`` occurs in ``body``."""
-    return ((F.length(body) - F.length(F.replace(body, part, F.lit("")))) / F.length(part)).cast("int")
-
-
 def annotate_fences(body: Column, tokens: Column, language: str = "mermaid") -> Column:
     """``body`` with the i-th token noted before the i-th fence of ``language``; surplus fences and tokens stay alone."""
     parts = F.split(body, f"(?m)^```{language}")

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from doclake.functions import markup as M
 from doclake.functions import properties as P
+from doclake.functions import urls as U
 from doclake.functions.ids import canonical_id
+from doclake.functions.text import relative_path
 from doclake.operators import incremental, indexes, rewrite
 from doclake.plans.library import _ALIASES, _LEDGER, _LINKS, _NOTION, _aliases, _fields, _ledger, _links, _records, _snap_sql, _snapshot, _snapshot_rows, front_matter, notion_inventory, render_properties
 from doclake.plans.library import ORACLES as _LIBRARY_SQL
@@ -26,31 +28,91 @@ def query(sql: str | None = None):
     return add
 
 
+#: The hosts of the test tables beside the real ones.
+_HOSTS, _DOMAINS = (*U.PAGE_HOSTS, "notes.example"), (*U.DOC_DOMAINS, "lark.example")
+
+
 def _bodies(spark, d):
-    """One body per link, with the URL by which its target would be linked."""
+    """One body per link, after front matter: URLs of its target on several hosts, a longer one that begins alike, others."""
     docs = _ledger(spark, d).where("local_path IS NOT NULL").select(F.col("id").alias("from_id"), F.col("local_path").alias("path"))
     l = _links(spark, d).where("from_id IS NOT NULL AND to_id IS NOT NULL").join(docs, "from_id")
     token = F.replace("to_id", F.lit("-"), F.lit(""))
-    url = F.when(token.rlike("^[0-9a-f]{32}$"), F.concat(F.lit("https://notes.example/Some-Title-"), F.upper(token))).otherwise(F.concat(F.lit("https://lark.example/docx/"), token, F.lit("?from=x")))
-    return l.select(F.col("link_id").alias("id"), "path", F.concat(F.lit("see [it]("), url, F.lit(") and [more](https://other.example/x)")).alias("body"))
+    hexed = token.rlike("^[0-9a-f]{32}$")
+    lit = F.lit
+    page = F.concat(lit("[it](https://www.notion.so/Some-Title-"), F.upper(token), lit("?v=1) <https://notes.example/p/"), token, lit("#a> https://notion.example/"), token, lit(" "))
+    doc = F.concat(lit("[it](https://acme.feishu.cn/docx/"), token, lit(") <https://lark.example/wiki/"), token, lit("?from=x> https://acme.feishu.cn/docx/"), token, lit("DEF https://acme.feishu.cn/other/"), token, lit(" "))
+    body = F.concat(lit("---\nurl: https://acme.feishu.cn/docx/"), token, lit("\n---\nsee "), F.when(hexed, page).otherwise(doc), lit("[more](https://other.example/x)"))
+    return l.select(F.col("link_id").alias("id"), "path", body.alias("body"))
+
+
+_REL = """repeat('../', CAST(len({x}) - 1 - len(list_filter(range(1, least(len({x}), len({y}))), lambda i: {x}[1:i] = {y}[1:i])) AS INTEGER)) ||
+  array_to_string({y}[len(list_filter(range(1, least(len({x}), len({y}))), lambda i: {x}[1:i] = {y}[1:i])) + 1:], '/')"""
 
 
 @query(
     f"""WITH {_LEDGER}, {_LINKS}, {_ALIASES}, live AS (SELECT id, local_path FROM led WHERE status = 'active' AND local_path IS NOT NULL),
 b AS (SELECT link_id AS id, led.local_path AS path, to_id, replace(to_id, '-', '') AS token FROM li JOIN led ON led.id = li.from_id WHERE to_id IS NOT NULL AND led.local_path IS NOT NULL),
-u AS (SELECT *, regexp_full_match(token, '[0-9a-f]{{32}}') AS hex, CASE WHEN regexp_full_match(token, '[0-9a-f]{{32}}') THEN 'https://notes.example/Some-Title-' || upper(token) ELSE 'https://lark.example/docx/' || token || '?from=x' END AS url FROM b),
+u AS (SELECT *, regexp_full_match(token, '[0-9a-f]{{32}}') AS hex FROM b),
 dash AS (SELECT replace(id, '-', '') AS token, local_path FROM live WHERE regexp_full_match(replace(id, '-', ''), '[0-9a-f]{{32}}')),
 t AS (SELECT u.*, coalesce(l.local_path, CASE WHEN hex THEN dash.local_path END, al2.local_path) AS target FROM u LEFT JOIN live l ON NOT hex AND l.id = u.token LEFT JOIN dash ON dash.token = u.token
   LEFT JOIN (SELECT alias, arg_min(local_path, doc_id) AS local_path FROM al JOIN live ON live.id = al.doc_id GROUP BY alias) al2 ON al2.alias = u.token),
 s AS (SELECT *, string_split(path, '/') AS x, string_split(target, '/') AS y FROM t),
-c AS (SELECT *, CASE WHEN target IS NULL THEN 0 ELSE len(list_filter(range(1, least(len(x), len(y))), lambda i: x[1:i] = y[1:i])) END AS same FROM s)
-SELECT id, 'see [it](' || CASE WHEN target IS NULL THEN url ELSE repeat('../', CAST(len(x) - 1 - same AS INTEGER)) || array_to_string(y[same + 1:], '/') END || ') and [more](https://other.example/x)' AS body, CASE WHEN target IS NULL THEN 0 ELSE 1 END AS rewritten FROM c"""
+c AS (SELECT *, {_REL.format(x='x', y='y')} AS rel FROM s)
+SELECT id, '---' || chr(10) || 'url: https://acme.feishu.cn/docx/' || token || chr(10) || '---' || chr(10) || 'see ' || CASE WHEN hex
+  THEN '[it](' || coalesce(rel, 'https://www.notion.so/Some-Title-' || upper(token) || '?v=1') || ') <' || coalesce(rel, 'https://notes.example/p/' || token || '#a') || '> https://notion.example/' || token || ' '
+  ELSE '[it](' || coalesce(rel, 'https://acme.feishu.cn/docx/' || token) || ') <' || coalesce(rel, 'https://lark.example/wiki/' || token || '?from=x') || '> https://acme.feishu.cn/docx/' || token || 'DEF https://acme.feishu.cn/other/' || token || ' ' END
+  || '[more](https://other.example/x)' AS body, CASE WHEN rel IS NULL THEN 0 ELSE 2 END AS rewritten FROM c"""
 )
 def rewrite_links(spark, d):
-    """Document URLs in bodies as relative paths, by id or alias."""
+    """Document URLs in bodies as relative paths, by id or alias; a URL that only begins like a known one stays."""
     docs = _ledger(spark, d)
     dashless = docs.where(F.length("id") == 36).select(F.replace("id", F.lit("-"), F.lit("")).alias("alias"), F.col("id").alias("doc_id"))
-    return rewrite.rewrite_bodies(_bodies(spark, d), docs, _aliases(spark, d).unionByName(dashless)).select("id", "body", "rewritten")
+    return rewrite.rewrite_bodies(_bodies(spark, d), docs, _aliases(spark, d).unionByName(dashless), _HOSTS, _DOMAINS).select("id", "body", "rewritten")
+
+
+def _paths(df):
+    return df.where("status = 'active' AND coalesce(path, '') <> ''").select("id", "path")
+
+
+@query(
+    f"""WITH {_snap_sql('now', 0)}, {_snap_sql('old', 1)}, {_LINKS}, e AS (SELECT DISTINCT from_id, to_id FROM li WHERE from_id IS NOT NULL AND to_id IS NOT NULL AND from_id <> to_id),
+o AS (SELECT * FROM old WHERE status = 'active' AND coalesce(path, '') <> ''), p AS (SELECT o.id, o.path AS old_path, n.path AS new_path FROM o JOIN now n ON n.id = o.id WHERE n.status = 'active' AND coalesce(n.path, '') <> ''),
+s AS (SELECT e.*, string_split(fo.path, '/') AS fx, string_split(t.path, '/') AS ty, string_split(a.new_path, '/') AS fn, string_split(b.new_path, '/') AS tn FROM e JOIN o fo ON fo.id = e.from_id JOIN o t ON t.id = e.to_id
+  LEFT JOIN p a ON a.id = e.from_id LEFT JOIN p b ON b.id = e.to_id),
+r AS (SELECT from_id, to_id, {_REL.format(x='fx', y='ty')} AS was, CASE WHEN fn IS NOT NULL AND tn IS NOT NULL THEN {_REL.format(x='fn', y='tn')} END AS now FROM s)
+SELECT from_id AS id, string_agg('[a](' || coalesce(now, was) || ') [b](<' || coalesce(now, was) || '>) [c](' || was || 'x)', chr(10) ORDER BY to_id) AS body, sum(CASE WHEN now <> was THEN 2 ELSE 0 END)::INTEGER AS applied FROM r GROUP BY from_id"""
+)
+def moved_bodies(spark, d):
+    """Bodies whose links follow the documents that moved between the last two snapshots: as many links as the document has."""
+    before, after = _paths(_snapshot(spark, d, 1)), _paths(_snapshot(spark, d, 0))
+    edges = _links(spark, d).where("from_id IS NOT NULL AND to_id IS NOT NULL AND from_id <> to_id").select("from_id", "to_id").distinct()
+    of = lambda n: before.select(F.col("id").alias(f"{n}_id"), F.col("path").alias(f"{n}_path"))
+    was = relative_path(F.col("from_path"), F.col("to_path"))
+    line = F.concat(F.lit("[a]("), was, F.lit(") [b](<"), was, F.lit(">) [c]("), was, F.lit("x)"))
+    lines = edges.join(of("from"), "from_id").join(of("to"), "to_id").select(F.col("from_id").alias("id"), "to_id", line.alias("line"))
+    bodies = lines.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("to_id", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    return rewrite.moved_bodies(bodies, edges, before, after)
+
+
+@query(
+    f"""WITH {_LINKS}, t AS (SELECT link_id, from_id, to_id, replace(to_id, '-', '') AS token FROM li WHERE from_id IS NOT NULL AND to_id IS NOT NULL), h AS (SELECT *, regexp_full_match(token, '[0-9a-f]{{32}}') AS hex FROM t)
+SELECT link_id, 'page' AS kind, to_id AS target FROM h WHERE hex UNION ALL SELECT link_id, 'href', regexp_extract(token, '^[A-Za-z0-9]+') FROM h WHERE NOT hex AND regexp_matches(token, '^[A-Za-z0-9]')
+UNION ALL SELECT link_id, 'board', token FROM h UNION ALL SELECT link_id, 'image', token FROM h"""
+)
+def extracted_links(spark, d):
+    """What bodies refer to: pages, databases, hyperlinks, whiteboards and images, each target once a body."""
+    lit, token = F.lit, F.replace("to_id", F.lit("-"), F.lit(""))
+    body = F.concat(
+        lit('<page icon="x" url="https://www.notion.so/T-'), token, lit('"/>\n<pages url="https://www.notion.so/00000000000000000000000000000000">\n<database url="u" data-source-url="collection://'), F.col("to_id"), lit('">x</database>\n'),
+        lit('<a href="https://acme.larksuite.com/docx/'), token, lit('?a=1&amp;b=2">x</a> <a href="https://acme.larksuite.com/wiki/'), token, lit('">again</a> <whiteboard align="1" token="'), token, lit('"></whiteboard>\n![i](https://x.example/a?b=1&amp;c=2)'),
+    )
+    xml = F.concat(lit('<img src="'), token, lit('" href="https://x.example/1?a=1&amp;b=2" name="n.png"/><img href="h"/>'))
+    b = _links(spark, d).where("from_id IS NOT NULL AND to_id IS NOT NULL").select("link_id", body.alias("body"), xml.alias("xml"))
+    hexed = b.select("link_id", F.explode(M.page_links(F.col("body"))).alias("l")).select("link_id", lit("page").alias("kind"), "l.target")
+    href = b.select("link_id", lit("href").alias("kind"), F.explode(F.transform(M.href_links(F.col("body")), lambda l: l["target"])).alias("target"))
+    boards = b.select("link_id", lit("board").alias("kind"), F.explode(M.whiteboard_tokens(F.col("body"))).alias("target"))
+    pictures = b.select("link_id", lit("image").alias("kind"), F.explode(F.transform(M.matched_images(F.col("body"), F.col("xml")), lambda p: p["key"])).alias("target"))
+    return hexed.unionByName(href.where(~F.col("target").rlike("^[0-9a-f]{32}$"))).unionByName(boards).unionByName(pictures)
 
 
 @query(f"SELECT id, front || chr(10) || coalesce(title, '') || chr(10) AS file FROM ({_LIBRARY_SQL['front_matter']}) JOIN (SELECT id, title FROM ledger_documents) USING (id)")

@@ -8,6 +8,7 @@ from doclake.functions import markup as M
 from doclake.functions import naming as N
 from doclake.functions import properties as P
 from doclake.functions import text as X
+from doclake.functions import urls as U
 from doclake.operators import changes, ledger, links, placement, runs
 from doclake.plans import library, round_queries
 from doclake.sources import landed
@@ -40,7 +41,7 @@ def test_truncation_keeps_characters_whole(spark):
 
 @pytest.mark.parametrize(
     ("a", "b", "want"),
-    [("p/a.md", "p/b.md", "b.md"), ("p/x/y/a.md", "assets/ab/h.png", "../../../assets/ab/h.png"), ("p/x/a.md", "p/x/y/b.md", "y/b.md"), ("a.md", "b/c.md", "b/c.md"), ("p/q/a.md", "p/r/b.md", "../r/b.md")],
+    [("p/a.md", "p/b.md", "b.md"), ("shelf/box/lid/note.md", "pool/7c/pic.webp", "../../../pool/7c/pic.webp"), ("p/x/a.md", "p/x/y/b.md", "y/b.md"), ("a.md", "b/c.md", "b/c.md"), ("p/q/a.md", "p/r/b.md", "../r/b.md")],
 )
 def test_relative_path(spark, a, b, want):
     assert value(spark, X.relative_path, a, b) == want
@@ -48,7 +49,7 @@ def test_relative_path(spark, a, b, want):
 
 def test_text_helpers(spark):
     assert value(spark, X.yaml_quote, 'a"b\\c\n') == '"a\\"b\\\\c\\n"'
-    assert value(spark, X.yaml_key, "due:date") == '"due:date"'
+    assert value(spark, X.yaml_key, "ship at: noon") == '"ship at: noon"'
     assert value(spark, X.yaml_key, "Name") == "Name"
     assert value(spark, X.link_dest, "a b.md") == "<a b.md>"
     assert value(spark, X.bitable_cell, "a|b\\c\r\n") == "a\\|b\\\\c  "
@@ -62,7 +63,7 @@ def test_text_helpers(spark):
     assert tuple(spark.createDataFrame([("---\na: 1\n---\nx\n---\n",)], "a0 string").select(head, body).first()) == ("---\na: 1\n---\n", "x\n---\n")
 
 
-@pytest.mark.parametrize(("x", "want"), [(0.0, "0"), (-0.5, "-0.5"), (42.0, "42"), (1e21, "1000000000000000000000"), (1e-7, "0.0000001"), (259.47, "259.47"), (1.5e12, "1500000000000"), (None, "")])
+@pytest.mark.parametrize(("x", "want"), [(0.0, "0"), (-0.5, "-0.5"), (42.0, "42"), (1e21, "1000000000000000000000"), (1e-7, "0.0000001"), (259.47, "259.47"), (1.5e12, "1500000000000"), (1e26, "1" + "0" * 26), (-2.5e-31, "-0." + "0" * 30 + "25"), (1e300, "1" + "0" * 300), (5e-324, "0." + "0" * 323 + "5"), (0.1 + 0.2, "0.30000000000000004"), (None, "")])
 def test_numbers(spark, x, want):
     got = spark.createDataFrame([(x,)], "x double").select(X.number_text(F.col("x"))).first()[0]
     assert (got, P.shortest_number(x)) == (want, want)
@@ -128,7 +129,36 @@ def test_markup_rewrites(spark):
     assert value(spark, lambda b: M.swap_destination(b, F.lit("a b"), F.lit("c")), "[x](a b) [y](<a b>)") == "[x](c) [y](<c>)"
     assert value(spark, lambda b: M.attributes(b), '<t a="1" b="2" a="3">') == {"b": "2", "a": "3"}
     assert value(spark, lambda b: M.annotate_fences(b, F.array(F.lit("t1"))), "x\n```mermaid\ng\n```\n```mermaid\n") == "x\n<!-- doclake:board t1 -->\n```mermaid\ng\n```\n```mermaid\n"
-    assert value(spark, M.doc_tokens, "[a](https://h.example/docx/T1?x=1) <https://h.example/wiki/T2> https://h.example/docx/T1") == ["T1", "T2"]
+
+
+def test_what_bodies_refer_to(spark):
+    hexed = "00112233445566778899aabbccddeeff"
+    body = f'<page\n icon="i" url="https://www.notion.so/T-{hexed.upper()}"/> <pagex url="{hexed}"> <page url="none"> <page url="x/{hexed}"><database url="d" data-source-url="collection://{hexed}"> <database url="d">'
+    assert [r["target"] for r in value(spark, M.page_links, body)] == ["00112233-4455-6677-8899-aabbccddeeff"]
+    hrefs = '<a href="https://q.larksuite.com/docx/Ab1?x=1&amp;y=2">t</a><a href="https://q.feishu.cn/wiki/W2"><a href="https://q.feishu.cn/docx/Ab1"><a href="https://else.example/docx/No">'
+    assert [tuple(r) for r in value(spark, M.href_links, hrefs)] == [("Ab1", "https://q.larksuite.com/docx/Ab1?x=1&y=2"), ("W2", "https://q.feishu.cn/wiki/W2")]
+    assert value(spark, M.whiteboard_tokens, '<whiteboard a="1" token="w1"></whiteboard><whiteboard><whiteboard token="w2"/>') == ["w1", "w2"]
+    xml = '<img src="k1" href="u?a&amp;b" name="n"/><img href="u"><img src="k3">'
+    got = value(spark, lambda b: M.matched_images(b, F.lit(xml)), "![a](m1) ![b [c]](m2 'title') ![c](<m3>) ![d](m4)")
+    assert [(r["key"], r["url"], r["body_url"], r["name"]) for r in got] == [("k1", "u?a&b", "m1", "n"), ("k3", None, "m3", None)]
+    assert value(spark, M.page_links, "") == [] and value(spark, M.href_links, None) is None
+
+
+@pytest.mark.parametrize(
+    ("url", "token"),
+    [
+        ("https://www.notion.so/p/My-Page-00112233445566778899AABBCCDDEEFF?v=1#x", "00112233445566778899aabbccddeeff"), ("http://notion.so/00112233445566778899aabbccddeeff", "00112233445566778899aabbccddeeff"),
+        ("https://notion.example/00112233445566778899aabbccddeeff", None), ("https://www.notion.so/00112233", None), ("https://a.b.feishu.cn/base/Tok9-x", "Tok9"), ("https://evilfeishu.cn/base/Tok9", None),
+        ("https://a.larksuite.com/drive/Tok9", None), ("https://a.larksuite.com/docx/", None), ("https://a.larksuite.com", None), ("no url", None), (None, None),
+    ],
+)
+def test_tokens_of_urls(spark, url, token):
+    assert value(spark, U.doc_token, url) == token
+
+
+def test_asset_hosts(spark):
+    yes = ("https://S3.us-west-2.amazonaws.com/x?y", "https://file.notion.so/f/a.png", "https://prod-files-secure.s3.example/a")
+    assert all(value(spark, U.is_asset, u) for u in yes) and not value(spark, U.is_asset, "https://x.example/amazonaws.com")
 
 
 def test_names_never_collide(spark):

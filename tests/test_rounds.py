@@ -14,7 +14,7 @@ def test_two_rounds(spark):
 
     old = {"documents": spark.createDataFrame([], LEDGER), "links": spark.createDataFrame([], "from_id string, to_id string"), "aliases": spark.createDataFrame([], "alias string, doc_id string")}
     first = [("f", "folder", "", "F", ""), ("a", "docx", "f", "A", "1"), ("b", "docx", "f", "B", "1"), ("c", "docx", "f", "C", "1"), ("d", "docx", "f", "D", "1"), ("e", "docx", "f", "E", "1")]
-    text = {i: f"body {i}" for i in "abcde"} | {"a": "[b](https://h.example/docx/b) [again](https://h.example/docx/b)"}
+    text = {i: f"body {i}" for i in "abcde"} | {"a": "[b](https://h.feishu.cn/docx/b) [again](https://h.feishu.cn/docx/b)"}
     r1 = rounds.run_round(inventory(first), bodies(**text), old, "2024-01-01T00:00:00Z")
     assert {r.id: r.outcome for r in r1.outcomes.collect()} == dict.fromkeys("fabcde", "added")
     assert [tuple(r) for r in r1.links.collect()] == [("a", "b")]
@@ -39,14 +39,29 @@ def test_two_rounds(spark):
 def test_rewriting(spark):
     docs = spark.createDataFrame([("T1", "p/x/one.md", "active"), ("T12", "p/two.md", "active"), ("T3", "p/z.md", "trashed"), ("354a4f41-bf47-b173-8e4d-e4c8110d25a8", "p/q.md", "active")], "id string, local_path string, status string")
     al = spark.createDataFrame([("W9", "T1"), ("354a4f41bf47b1738e4de4c8110d25a8", "354a4f41-bf47-b173-8e4d-e4c8110d25a8")], "alias string, doc_id string")
-    u = "https://h.example/docx/"
+    u = "https://h.feishu.cn/docx/"
     data = [
-        ("a", "p/y/a.md", f"[1]({u}T1) [2]({u}T12) [3]({u}T3) [1]({u}T1)"), ("b", "p/b.md", f"<{u.replace('docx', 'wiki')}W9>"), ("c", "p/c.md", "https://notes.example/Page-354A4F41BF47B1738E4DE4C8110D25A8?v=1"),
-        ("d", "p/d.md", None), ("e", "p/e.md", "plain"),
+        ("a", "p/y/a.md", f"[1]({u}T1) [2]({u}T12) [3]({u}T3) [1]({u}T1)"), ("b", "p/b.md", f"<{u.replace('docx', 'wiki')}W9>"), ("c", "p/c.md", "https://www.notion.so/Page-354A4F41BF47B1738E4DE4C8110D25A8?v=1"),
+        ("d", "p/d.md", None), ("e", "p/e.md", "plain"), ("f", "p/f.md", f"{u}T1 {u}T1more {u}T1?a=1 {u}T1"), ("g", "p/g.md", f"---\nurl: {u}T1\n---\n{u}T1"), ("h", "p/h.md", ""), ("i", "p/i.md", f"https://x.example/{u}T1"),
     ]
     got = {r.id: (r.body, r.rewritten) for r in rewrite.rewrite_bodies(spark.createDataFrame(data, "id string, path string, body string"), docs, al).collect()}
     assert got["a"] == (f"[1](../x/one.md) [2](../two.md) [3]({u}T3) [1](../x/one.md)", 3)
-    assert got["b"] == ("<x/one.md>", 1) and got["c"] == ("q.md", 1) and got["d"] == (None, 0) and got["e"] == ("plain", 0)
+    assert got["b"] == ("<x/one.md>", 1) and got["c"] == ("q.md", 1) and got["d"] == (None, 0) and got["e"] == ("plain", 0) and got["h"] == ("", 0)
+    assert got["f"] == (f"x/one.md {u}T1more x/one.md x/one.md", 3)
+    assert got["g"] == (f"---\nurl: {u}T1\n---\nx/one.md", 1) and got["i"][1] == 0
+
+
+def test_links_follow_moves(spark):
+    paths = lambda *rows: spark.createDataFrame(rows, "id string, path string")
+    before = paths(("a", "p/a.md"), ("b", "p/b c.md"), ("c", "p/c.md"), ("d", "p/d.md"), ("s", "p/s.md"))
+    # b takes the path that c had: a target that was just written isn't moved on.
+    after = paths(("a", "p/a.md"), ("b", "p/c.md"), ("c", "q/c.md"), ("d", "p/d.md"), ("s", "q/s.md"))
+    links = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "d"), ("a", "b"), ("s", "d"), ("a", "gone")], "from_id string, to_id string")
+    bodies = spark.createDataFrame([("a", "[1](b c.md) [2](<b c.md>) [3](c.md) [4](<c.md>) [5](d.md) [6](c.mdx) c.md"), ("s", "---\nx: [d](d.md)\n---\n![d](d.md)"), ("d", None), ("z", "[c](c.md)")], "id string, body string")
+    got = {r.id: (r.body, r.applied) for r in rewrite.moved_bodies(bodies, links, before, after).collect()}
+    assert got == {
+        "a": ("[1](c.md) [2](<c.md>) [3](../q/c.md) [4](<../q/c.md>) [5](d.md) [6](c.mdx) c.md", 4), "s": ("---\nx: [d](d.md)\n---\n![d](../p/d.md)", 1), "d": (None, 0), "z": ("[c](c.md)", 0),
+    }
 
 
 def test_database_lines(spark):
