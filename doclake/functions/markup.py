@@ -188,3 +188,35 @@ def annotate_fences(body: Column, tokens: Column, language: str = "mermaid") ->
         lambda x, i: F.concat(F.when(i < F.size(tokens), F.concat(F.lit("<!-- doclake:board "), F.get(tokens, i), F.lit(" -->\n"))).otherwise(""), F.lit(fence), x),
     )
     return F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))
+
+
+#: Kinds of documents that have a text of their own.
+TEXT_TYPES = ("docx", "page", "db_row")
+
+
+def selected_body(type_: Column, body: Column, markdown: Column, id_: Column, url: Column) -> Column:
+    """The body that is written: of kinds with text what was fetched (``body``, or ``markdown`` when that is empty), else a note
+    with the id and, where it is known, the URL."""
+    note = F.concat(
+        F.lit("> Standalone resource node ("), type_, F.lit("): this content is not expanded in the mirror; drill down or open the original online to view it.\n>\n> Drill-down token: `"), id_, F.lit("`"),
+        F.when(F.coalesce(url, F.lit("")) != "", F.concat(F.lit("\n>\n> View online: "), url)).otherwise(""),
+    )
+    return F.when(type_.isin(*TEXT_TYPES), F.coalesce(F.nullif(body, F.lit("")), markdown, F.lit(""))).otherwise(note)
+
+
+#: An embedded table: its opening tag and the closing one if that follows at once.
+EMBEDDED = r"<(?:base_refer|bitable)(?:[\s/][^>]*)?>(?:\s*</(?:base_refer|bitable)>)?"
+
+
+def online_table(url: Column, token: Column, table_id: Column, view_id: Column) -> Column:
+    """A link to a table on the host of the document at ``url``, '' when that or the table isn't known."""
+    part = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{name}="), F.url_encode(c)))
+    base = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+", 0)
+    link = F.concat_ws("?", F.concat(base, F.lit("/base/"), token), F.nullif(F.concat_ws("&", part("table", table_id), part("view", view_id)), F.lit("")))
+    return F.when((F.coalesce(base, F.lit("")) != "") & (F.coalesce(token, F.lit("")) != ""), F.concat(F.lit("[Open the bitable in Feishu]("), link, F.lit(")"))).otherwise("")
+
+
+def table_note(attrs: Column) -> Column:
+    """The comment that keeps what names an embedded table, in fixed order."""
+    said = F.concat_ws(" ", *(F.when(F.coalesce(attrs[k], F.lit("")) != "", F.concat(F.lit(f'{k}="'), F.replace(F.replace(attrs[k], F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))) for k in ("table-id", "token", "view-id")))
+    return F.concat(F.lit("<!-- doclake:base_refer "), said, F.lit(" -->"))

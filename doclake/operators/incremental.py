@@ -4,45 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from doclake.functions.naming import base_name, id_prefix
 from doclake.functions.text import container_dir
-from doclake.operators.placement import CONTAINERS, ORPHANS
+from doclake.operators.hierarchy import contract
+from doclake.operators.placement import CONTAINERS, ORPHANS, sibling_names
+from doclake.session import cut
 
 LIVE = ("active", "pending_assets")
 
 
-def slot_of(path, is_dir):
-    """The name of a document's slot in its directory: without README.md, without .md for a file."""
-    return F.when(is_dir, container_dir(path)).otherwise(F.regexp_replace(path, r"\.md$", ""))
-
-
 def place_new(docs: DataFrame, ledger: DataFrame) -> DataFrame:
-    """(id, dir, name, path) of documents (platform, id, parent_id, type, title, ord) that the ledger (platform, id, type,
-    local_path, status) hasn't placed, beside what it has.
+    """(id, dir, name, path) of documents (platform, id, parent_id, type, title, ord) that the ledger (platform, id, parent_id,
+    type, local_path, status) hasn't placed, beside what it has.
 
-    A document goes below its parent if that is live in the ledger (which makes a leaf a directory), to the platform's
-    directory when it has none, else under ``_orphans``. Names that are taken there in any case keep their owner: the
-    newcomer gets its id, as do later ones of several newcomers.
+    A document goes below its parent if the chain of parents from there leads to a root over live ledger rows and other
+    new documents (a leaf becomes a directory), to the platform's directory when it has no parent, else under ``_orphans``.
+    Names that are taken there in any case keep their owner: the newcomer gets its id, and a number where that is taken
+    too; so do later ones of several newcomers, by ``ord``, then id. No path comes out twice.
     """
     live = ledger.where(F.col("status").isin(*LIVE) & (F.coalesce("local_path", F.lit("")) != ""))
-    fresh = docs.join(live.select("id"), "id", "left_anti")
-    own = live.select(F.col("platform").alias("_pl"), F.col("id").alias("_id"), F.regexp_replace(container_dir(F.col("local_path")), r"\.md$", "").alias("_dir"))
-    j = fresh.join(own, (F.col("platform") == F.col("_pl")) & (F.col("parent_id") == F.col("_id")), "left")
-    no_parent = F.coalesce("parent_id", F.lit("")) == ""
-    j = j.withColumn("dir", F.when(no_parent, F.col("platform")).when(F.col("_dir").isNotNull(), F.col("_dir")).otherwise(F.concat("platform", F.lit(f"/{ORPHANS}"))))
-    base, forced = base_name(F.col("title"), F.col("id"))
-    j = j.withColumns({"base": base, "forced": forced})
-    # Only the parent directory and the last segment are compared: an equality join, not a search by prefix.
+    fresh = docs.join(live.select("id"), "id", "left_anti").withColumn("parent_id", F.nullif("parent_id", F.lit("")))
+    # Where each chain ends: at a node without a parent, or at one whose parent isn't there.
+    ends = live.select("platform", "id", F.nullif("parent_id", F.lit("")).alias("parent_id")).unionByName(fresh.select("platform", "id", "parent_id"))
+    tree = contract(ends.select(F.col("platform").alias("src"), F.col("id").alias("node_id"), "parent_id")).where("root_id <> ''")
+    tops = ends.where("parent_id IS NULL").select(F.col("platform").alias("_tp"), F.col("id").alias("_top"))
+    whole = tree.join(tops, (F.col("src") == F.col("_tp")) & (F.col("root_id") == F.col("_top")), "left_semi").select(F.col("src").alias("_pl"), F.col("node_id").alias("_id"))
+    own = live.select(F.col("platform").alias("_opl"), F.col("id").alias("_oid"), F.regexp_replace(container_dir(F.col("local_path")), r"\.md$", "").alias("_dir"))
+    at = lambda pl, id_: (F.col("platform") == F.col(pl)) & (F.col("parent_id") == F.col(id_))
+    j = fresh.join(whole, at("_pl", "_id"), "left").join(own, at("_opl", "_oid"), "left")
+    fits = F.col("parent_id").isNull() | F.col("_id").isNotNull()
+    # The directory by its path where the ledger has it, by the new parent's id where it hasn't.
+    known = F.when(~fits, F.concat("platform", F.lit(f"/{ORPHANS}"))).when(F.col("parent_id").isNull(), F.col("platform")).otherwise(F.col("_dir"))
+    j = cut(j.select("platform", "id", "type", "title", "ord", known.alias("_known"), F.when(fits & known.isNull(), F.col("parent_id")).alias("_above")), "newcomers")
+    parent = F.coalesce(F.concat(F.lit("/"), "_known"), "_above")
     slot = F.regexp_replace(container_dir(F.col("local_path")), r"\.md$", "")
-    taken = live.select(F.regexp_extract(slot, r"^(.*)/[^/]*$", 1).alias("_tdir"), F.lower(F.regexp_extract(slot, r"([^/]*)$", 1)).alias("_tname")).distinct()
-    j = j.join(taken, (F.col("dir") == F.col("_tdir")) & (F.lower("base") == F.col("_tname")), "left")
-    nth = F.row_number().over(Window.partitionBy("dir", F.lower("base")).orderBy("ord", "id"))
-    plain = F.col("forced") | (F.col("_tname").isNull() & (nth == 1))
-    named = j.withColumn("name", F.when(plain, F.col("base")).otherwise(F.concat("base", F.lit("-"), id_prefix(F.col("id")))))
+    taken = live.select("platform", F.concat(F.lit("/"), F.regexp_extract(slot, r"^(.*)/[^/]*$", 1)).alias("parent"), F.regexp_extract(slot, r"([^/]*)$", 1).alias("name"))
+    wanted = j.withColumn("parent", parent)
+    taken = taken.join(wanted.select("platform", "parent").distinct(), ["platform", "parent"], "left_semi")
+    named = cut(sibling_names(wanted.withColumn("ord", F.col("ord").cast("bigint")), taken), "newcomers-named")
+    # From the directory that the ledger knows down: the names of the new ones on the way.
+    chain = contract(named.select(F.col("platform").alias("src"), F.col("id").alias("node_id"), F.col("_above").alias("parent_id"), F.struct("name", "_known").alias("step")), paths=True, label="step")
+    placed = named.join(chain.where("root_id <> ''").select(F.col("src").alias("_pl"), F.col("node_id").alias("_id"), F.col("path").alias("steps")), (F.col("platform") == F.col("_pl")) & (F.col("id") == F.col("_id")))
+    above = F.transform(F.slice("steps", 1, F.size("steps") - 1), lambda s: s["name"])
+    where = F.array_join(F.concat(F.array(F.col("steps")[0]["_known"]), above), "/")
+    parents = named.select(F.col("platform").alias("_ppl"), F.col("_above").alias("_pid")).where("_pid IS NOT NULL").distinct()
+    held = placed.withColumn("dir", where).join(parents, (F.col("platform") == F.col("_ppl")) & (F.col("id") == F.col("_pid")), "left")
     place = F.concat("dir", F.lit("/"), "name")
-    return named.select("id", "dir", "name", F.when(F.col("type").isin(*CONTAINERS), place).otherwise(F.concat(place, F.lit(".md"))).alias("path"))
+    path = F.when(F.col("type").isin(*CONTAINERS), place).when(F.col("_pid").isNotNull(), F.concat(place, F.lit("/README.md"))).otherwise(F.concat(place, F.lit(".md")))
+    return held.select("id", "dir", "name", path.alias("path"))
 
 
 def new_directories(docs: DataFrame, ledger: DataFrame) -> DataFrame:

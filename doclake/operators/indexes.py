@@ -62,3 +62,31 @@ def bitable_lines(records: DataFrame, threshold: int = 200) -> DataFrame:
     small = records.join(t.where(F.col("n") <= threshold), "table")
     row = wrap(F.transform("fields", lambda f: bitable_cell(F.coalesce(F.element_at("cells", f), F.lit("")))))
     return heads.unionByName(small.select("table", F.lit(1).alias("part"), "raw_id", row.alias("line")))
+
+
+def embed_bitables(bodies: DataFrame, shown: DataFrame) -> DataFrame:
+    """``bodies`` (id, body, url; one row per id) with embedded tables in place, and ``outcomes``, one per table in order.
+
+    ``shown``: id, token, table_id, text (the table, or its columns alone when ``oversize``). A table that its tag doesn't
+    name in full, and one that isn't in ``shown``, is ``failed``; the others are ``rendered`` or ``oversize``. The tag stays
+    as a comment, a link to the table follows where the document's host is known. Of several texts of a table the least
+    holds. Null bodies stay null.
+    """
+    from doclake.functions import markup as M
+    from doclake.functions.text import join_blocks
+    from doclake.functions.urls import put_together
+
+    found = F.regexp_extract_all("body", F.lit(M.EMBEDDED), F.lit(0))
+    tags = bodies.select("id", "url", F.posexplode(found).alias("pos", "tag")).select("id", "url", "pos", M.attributes(F.col("tag")).alias("a"))
+    texts = shown.groupBy(F.col("id").alias("_id"), F.col("token").alias("_t"), F.col("table_id").alias("_tb")).agg(F.min(F.struct("text", "oversize")).alias("_s"))
+    j = tags.join(texts, (F.col("id") == F.col("_id")) & (F.col("a")["token"] == F.col("_t")) & (F.col("a")["table-id"] == F.col("_tb")), "left")
+    token, table_id = F.coalesce(F.col("a")["token"], F.lit("")), F.coalesce(F.col("a")["table-id"], F.lit(""))
+    link = M.online_table(F.col("url"), token, table_id, F.col("a")["view-id"])
+    named = (token != "") & (table_id != "")
+    outcome = F.when(~named | F.col("_s").isNull(), "failed").when(F.col("_s.oversize"), "oversize").otherwise("rendered")
+    block = F.when(~named, F.array(link)).when(F.col("_s").isNull(), F.array(F.concat(F.lit("> Failed to fetch the bitable; open it online to view. "), link))).otherwise(F.array(F.coalesce("_s.text", F.lit("")), link))
+    done = j.select("id", "pos", outcome.alias("outcome"), join_blocks(F.concat(F.array(M.table_note(F.col("a"))), block)).alias("block"))
+    per = done.groupBy(F.col("id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("pos", "block", "outcome"))).alias("_b"))
+    b = bodies.join(per, F.col("id") == F.col("_id"), "left")
+    body = F.when(F.col("_b").isNull(), F.col("body")).otherwise(put_together(F.col("body"), M.EMBEDDED, found, F.transform("_b", lambda x: x["block"])))
+    return b.select("id", body.alias("body"), F.coalesce(F.transform("_b", lambda x: x["outcome"]), F.array().cast("array<string>")).alias("outcomes"))

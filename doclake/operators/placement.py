@@ -17,6 +17,7 @@ from doclake.session import cut
 
 CONTAINERS = ("folder", "db")
 ORPHANS = "_orphans"
+_BEFORE_ALL = -(1 << 31)
 
 
 def claim_names(siblings: pd.DataFrame) -> pd.DataFrame:
@@ -24,7 +25,7 @@ def claim_names(siblings: pd.DataFrame) -> pd.DataFrame:
     its id, and where that is taken too a number."""
     taken: set[str] = set()
     names = []
-    rows = siblings.sort_values("ord")
+    rows = siblings.sort_values(["ord", "id"])
     for base, forced, suffix in zip(rows["base"], rows["forced"], rows["suffix"], strict=True):
         name = base if forced or base.lower() not in taken else base + suffix
         plain, n = name, 2
@@ -35,14 +36,19 @@ def claim_names(siblings: pd.DataFrame) -> pd.DataFrame:
     return rows.assign(name=names)[["platform", "id", "name"]]
 
 
-def sibling_names(docs: DataFrame) -> DataFrame:
-    """``docs`` (platform, id, parent, title, ord) with ``name``, unique within (platform, parent) without regard to case.
+def sibling_names(docs: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """``docs`` (platform, id, parent, title, ord) with ``name``, unique within (platform, parent) without regard to case,
+    also beside the names ``taken`` there (platform, parent, name).
 
     The plain rule is one window per directory. Only where a name it gives is given twice (an id-suffixed name that is
     another's title, or equal id prefixes) are the nodes whose names share a stem gone through one by one.
     """
     base, forced = base_name(F.col("title"), F.col("id"))
     d = docs.withColumns({"base": base, "forced": forced, "suffix": F.concat(F.lit("-"), id_prefix(F.col("id")))})
+    if taken is not None:
+        no_id = F.lit(None).cast(docs.schema["id"].dataType)
+        seeds = taken.select("platform", "parent", F.col("name").alias("base")).distinct().select("platform", "parent", no_id.alias("id"), "base", F.lit(True).alias("forced"), F.lit("").alias("suffix"), F.lit(_BEFORE_ALL).cast(docs.schema["ord"].dataType).alias("ord"))
+        d = d.unionByName(seeds, allowMissingColumns=True)
     first = F.row_number().over(Window.partitionBy("platform", "parent", F.lower("base")).orderBy("ord", "id"))
     d = d.withColumn("name", F.when(F.col("forced") | (first == 1), F.col("base")).otherwise(F.concat("base", "suffix")))
     d = d.withColumn("stem", F.regexp_replace(F.lower("base"), r"(-[^-]{1,8})?(-\d+)*$", ""))
@@ -53,7 +59,7 @@ def sibling_names(docs: DataFrame) -> DataFrame:
     folded = d.alias("d").join(clash.alias("c"), same, "left_semi").groupBy(*keys).applyInPandas(claim_names, "platform string, id string, name string")
     again = d.drop("name").join(folded, ["platform", "id"])
     extra = ["base", "forced", "suffix", "stem"]
-    return plain.drop(*extra).unionByName(again.drop(*extra))
+    return plain.where("id IS NOT NULL").drop(*extra).unionByName(again.drop(*extra))
 
 
 def place(docs: DataFrame) -> DataFrame:

@@ -75,16 +75,6 @@ def dirs_left_empty(before: DataFrame, after: DataFrame) -> DataFrame:
     return above(before).join(above(after), "dir", "left_anti")
 
 
-def asset_outcomes(refs: DataFrame, pool: DataFrame, fetched: DataFrame) -> DataFrame:
-    """(id, key, outcome) per distinct asset of a document: ``reused`` when the pool (key, status, path) has it done,
-    ``downloaded`` when it was fetched (key, digest), else ``pending``."""
-    have = pool.where("status = 'done' AND path IS NOT NULL").select(F.col("key").alias("_p")).distinct()
-    got = fetched.select(F.col("key").alias("_f")).distinct()
-    one = refs.select("id", "key").distinct()
-    j = one.join(have, F.col("key") == F.col("_p"), "left").join(got, F.col("key") == F.col("_f"), "left")
-    return j.select("id", "key", F.when(F.col("_p").isNotNull(), "reused").when(F.col("_f").isNotNull(), "downloaded").otherwise("pending").alias("outcome"))
-
-
 def write_files(files: DataFrame, root: str) -> DataFrame:
     """Write (path, content) as files under ``root``, a folder all executors share: each to a temporary name, then renamed.
     Returns (path, bytes). Runs where the rows are; a task that is run again writes the same files again."""

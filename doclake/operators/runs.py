@@ -76,3 +76,8 @@ def token_bucket(arrivals: DataFrame, per_second: float, by: list[str]) -> DataF
 def backoff(attempt: Column, base: float = 0.5, most: float = 30.0) -> Column:
     """Seconds before retry ``attempt`` (from 0)."""
     return F.least(F.lit(base) * F.pow(F.lit(2.0), attempt), F.lit(most))
+
+
+def before(runs: DataFrame, column: str) -> DataFrame:
+    """``runs`` with ``before``: the value of ``column`` in the platform's run before."""
+    return runs.withColumn("before", F.lag(column).over(Window.partitionBy("platform").orderBy("id")))

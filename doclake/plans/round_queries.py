@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from doclake.functions import markup as M
 from doclake.functions import properties as P
+from doclake.functions import text as X
 from doclake.functions import urls as U
 from doclake.functions.ids import canonical_id
 from doclake.functions.text import relative_path
-from doclake.operators import incremental, indexes, rewrite
-from doclake.plans.library import _ALIASES, _LEDGER, _LINKS, _NOTION, _aliases, _fields, _ledger, _links, _records, _snap_sql, _snapshot, _snapshot_rows, front_matter, notion_inventory, render_properties
+from doclake.operators import assets, incremental, indexes, reports, rewrite, runs
+from doclake.plans.library import _ALIASES, _CDC, _LEDGER, _LINKS, _NOTION, _RUNS, _aliases, _fields, _ledger, _links, _records, _runs, _snap_sql, _snapshot, _snapshot_rows, cdc_classify, front_matter, mode_decision, notion_inventory, quota_usage, render_properties
 from doclake.plans.library import ORACLES as _LIBRARY_SQL
 from doclake.session import ship, table
 
@@ -134,28 +135,56 @@ def dirs_left_empty(spark, d):
 
 
 _IMG = M.IMAGE.replace("'", "''")
-_ASSETS = f"""refs AS (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, '{_IMG}', 2)), '[?#].*$', '') AS key FROM documents),
-pool AS (SELECT DISTINCT key, sha256(key) AS digest, CASE WHEN left(sha256(key), 1) < '8' THEN 'done' ELSE 'pending' END AS status FROM refs)"""
+_ASSETS = f"""half AS (SELECT quantile_cont(epoch_us(crawled_at), 0.5) AS t FROM documents),
+refs AS (SELECT doc_id, coalesce(epoch_us(crawled_at) < t, false) AS before, regexp_replace(unnest(regexp_extract_all(text, '{_IMG}', 2)), '[?#].*$', '') AS key FROM documents, half),
+ledger AS (SELECT DISTINCT key AS remote_key, sha256(key) AS sha256, 'assets/' || left(sha256(key), 2) || '/' || sha256(key) AS local_path FROM refs WHERE before),
+got AS (SELECT DISTINCT key FROM refs WHERE NOT before AND (starts_with(key, 'attachment:') OR starts_with(key, 'data:'))),
+outcomes AS (SELECT DISTINCT doc_id AS id, key, CASE WHEN l.remote_key IS NOT NULL THEN 'reused' WHEN got.key IS NOT NULL THEN 'downloaded' ELSE 'pending' END AS outcome
+  FROM (SELECT * FROM refs WHERE NOT before) r LEFT JOIN ledger l ON l.remote_key = r.key LEFT JOIN got USING (key))"""
+
+
+def _asset_round(spark, d):
+    """(ledger of what the documents of the earlier half show, references of the later half, what came with a document
+    itself, documents of the later half)."""
+    docs = table(spark, d, "documents").select("doc_id", "text", F.unix_micros("crawled_at").alias("t"))
+    half = docs.agg(F.percentile(F.col("t"), F.lit(0.5)).alias("h")).first()["h"]
+    docs = docs.withColumn("before", F.coalesce(F.col("t") < F.lit(half), F.lit(False)))
+    refs = docs.select(F.col("doc_id").alias("id"), "before", F.explode(M.images(F.col("text"))).alias("t")).select("id", "before", M.asset_key(F.col("t")).alias("key"))
+    digest = F.sha2("key", 256)
+    with_content = lambda keys: keys.select("key", digest.alias("sha256"), X.content_path(digest, F.lit("")).alias("path"))
+    empty = spark.createDataFrame([], "remote_key string, sha256 string, local_path string, status string")
+    ledger = assets.mark_done(empty, with_content(refs.where("before")))
+    later = refs.where("NOT before").select("id", "key")
+    return ledger, later, with_content(later.where(F.col("key").startswith("attachment:") | F.col("key").startswith("data:"))), docs.where("NOT before").select(F.col("doc_id").alias("id"))
 
 
-def _assets(spark, d):
-    refs = table(spark, d, "documents").select("doc_id", F.explode(M.images(F.col("text"))).alias("t")).select("doc_id", M.asset_key(F.col("t")).alias("key"))
-    digest = F.sha2("key", 256)
-    pool = refs.select("key").distinct().select("key", digest.alias("digest"), F.when(F.left(digest, F.lit(1)) < "8", "done").otherwise("pending").alias("status"), F.concat(F.lit("assets/"), digest).alias("path"))
-    return refs, pool
+@query(f"WITH {_ASSETS} SELECT id, key, outcome FROM outcomes")
+def asset_outcomes(spark, d):
+    """What becomes of the assets of the later half of the documents."""
+    ledger, refs, got, _ = _asset_round(spark, d)
+    return assets.settle(ledger, refs, got)[1]
 
 
-@query(f"WITH {_ASSETS} SELECT status, count(*) AS n, count(DISTINCT digest) AS contents FROM pool GROUP BY status")
+@query(
+    f"""WITH {_ASSETS} SELECT remote_key, sha256, local_path, 'done' AS status FROM ledger
+UNION ALL SELECT DISTINCT key, CASE outcome WHEN 'downloaded' THEN sha256(key) END, CASE outcome WHEN 'downloaded' THEN 'assets/' || left(sha256(key), 2) || '/' || sha256(key) END, CASE outcome WHEN 'downloaded' THEN 'done' ELSE 'pending' END FROM outcomes WHERE outcome <> 'reused'"""
+)
+def assets_next(spark, d):
+    """The ledger of assets after that round."""
+    ledger, refs, got, _ = _asset_round(spark, d)
+    return assets.settle(ledger, refs, got)[0]
+
+
+@query(f"WITH {_ASSETS}, n AS (SELECT 'done' AS status FROM ledger UNION ALL SELECT CASE outcome WHEN 'downloaded' THEN 'done' ELSE 'pending' END FROM (SELECT DISTINCT key, outcome FROM outcomes WHERE outcome <> 'reused')) SELECT status, count(*) AS n FROM n GROUP BY status")
 def assets_by_status(spark, d):
-    _, pool = _assets(spark, d)
-    return pool.groupBy("status").agg(F.count("*").alias("n"), F.countDistinct("digest").alias("contents"))
+    return assets_next(spark, d).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_ASSETS} SELECT DISTINCT doc_id AS id, key, CASE WHEN status = 'done' THEN 'reused' WHEN left(digest, 1) < 'c' THEN 'downloaded' ELSE 'pending' END AS outcome FROM refs JOIN pool USING (key)")
-def asset_outcomes(spark, d):
-    refs, pool = _assets(spark, d)
-    fetched = pool.where(F.left("digest", F.lit(1)) < "c").select("key", "digest")
-    return rewrite.asset_outcomes(refs.withColumnRenamed("doc_id", "id"), pool, fetched)
+@query(f"WITH {_ASSETS} SELECT doc_id AS id, CASE WHEN doc_id IN (SELECT id FROM outcomes WHERE outcome = 'pending') THEN 'pending_assets' ELSE 'active' END AS status FROM documents, half WHERE NOT coalesce(epoch_us(crawled_at) < t, false)")
+def doc_status_after_run(spark, d):
+    """The documents of that round with their status."""
+    ledger, refs, got, docs = _asset_round(spark, d)
+    return assets.statuses_after(docs, assets.settle(ledger, refs, got)[1])
 
 
 @query(
@@ -166,24 +195,25 @@ def dirty_databases(spark, d):
     return incremental.dirty_databases(notion_inventory(spark, d), _ledger(spark, d))
 
 
-def _new_docs(spark, d):
-    s = _snapshot_rows(spark, d, 0).select(canonical_id(F.col("id")).alias("id"), canonical_id(F.col("parent_id")).alias("parent_id"), "loaded_at").where("id IS NOT NULL")
+def _with_parents(spark, d, back):
+    s = _snapshot_rows(spark, d, back).select(canonical_id(F.col("id")).alias("id"), canonical_id(F.col("parent_id")).alias("parent_id"), "loaded_at").where("id IS NOT NULL")
     parent = s.groupBy("id").agg(F.max_by(F.struct("parent_id"), F.struct("loaded_at", "parent_id")).alias("p")).select("id", F.col("p.parent_id").alias("parent_id"))
-    return _snapshot(spark, d, 0).join(parent, "id").withColumn("ord", F.xxhash64("id"))
+    return _snapshot(spark, d, back).join(parent, "id").withColumn("ord", F.xxhash64("id"))
 
 
 @query()
 def incremental_placement(spark, d):
     """Where the newest snapshot's new documents go beside those of the one before."""
-    old = _snapshot(spark, d, 1).withColumnRenamed("path", "local_path")
-    return incremental.place_new(_new_docs(spark, d), old)
+    ship(spark)
+    old = _with_parents(spark, d, 1).withColumnRenamed("path", "local_path")
+    return incremental.place_new(_with_parents(spark, d, 0), old)
 
 
 @query()
 def new_directories(spark, d):
     """Leaves that become directories as they get their first child."""
     old = _snapshot(spark, d, 1).withColumnRenamed("path", "local_path")
-    fresh = _new_docs(spark, d).join(old.select("id"), "id", "left_anti")
+    fresh = _with_parents(spark, d, 0).join(old.select("id"), "id", "left_anti")
     return incremental.new_directories(fresh, old)
 
 
@@ -227,3 +257,83 @@ def classify_errors(spark, d):
         .otherwise("other")
     )
     return e.select("event_id", kind.alias("kind"))
+
+
+@query(
+    """WITH l AS (SELECT coalesce(source, '') AS platform, len(list_filter(coalesce(cells, []), lambda c: c.cell_type = 'error')) AS u, CASE WHEN n_cells IS NULL THEN 1 ELSE 0 END AS b FROM documents)
+SELECT platform, sum(u)::BIGINT AS unknown_blocks, 0::BIGINT AS bitables_rendered, 0::BIGINT AS bitables_oversize, 0::BIGINT AS bitables_failed, sum(b)::BIGINT AS truncated_pages, 0::BIGINT AS unknown_block_ids, (sum(u) + sum(b))::BIGINT AS degradations FROM l GROUP BY platform"""
+)
+def degradations(spark, d):
+    """Losses per source: error cells as blocks that aren't known, notebooks without a cell count as truncated."""
+    docs = table(spark, d, "documents")
+    errors = F.size(F.filter(F.coalesce("cells", F.array().cast(docs.schema["cells"].dataType)), lambda c: c["cell_type"] == "error"))
+    none = F.lit(0)
+    each = docs.select(F.coalesce("source", F.lit("")).alias("platform"), errors.alias("unknown_blocks"), none.alias("bitables_rendered"), none.alias("bitables_oversize"), none.alias("bitables_failed"), F.col("n_cells").isNull().cast("int").alias("truncated_pages"), none.alias("unknown_block_ids"))
+    return reports.losses(each)
+
+
+@query(
+    f"""WITH {_CDC}, p AS (SELECT platform, count(*) FILTER (outcome = 'added') AS added, count(*) FILTER (outcome = 'updated') AS updated, count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome = 'gone') AS deleted, count(*) FILTER (moved) AS moved,
+  count(*) FILTER (outcome = 'gone') AS f FROM cdc WHERE outcome IS NOT NULL GROUP BY platform)
+SELECT sum(added)::BIGINT AS added, sum(updated)::BIGINT AS updated, sum(skipped)::BIGINT AS skipped, sum(deleted)::BIGINT AS deleted, sum(moved)::BIGINT AS moved, list(platform || ': ' || f ORDER BY platform) AS failures, []::VARCHAR[] AS warnings, list(platform ORDER BY platform) AS adapters FROM p"""
+)
+def merged_stats(spark, d):
+    """What the last round did on all platforms together."""
+    c = cdc_classify(spark, d)
+    n = lambda cond: F.count(F.when(cond, 1))
+    per = c.groupBy("platform").agg(*(n(F.col("outcome") == o).alias(a) for o, a in (("added", "added"), ("updated", "updated"), ("skipped", "skipped"), ("gone", "deleted"))), n(F.col("moved")).alias("moved"))
+    told = per.withColumns({"failures": F.array(F.concat("platform", F.lit(": "), F.col("deleted").cast("string"))), "warnings": F.array().cast("array<string>")})
+    return reports.merge_stats(told)
+
+
+@query(f"WITH m AS ({_LIBRARY_SQL['mode_decision']}) SELECT platform, CASE WHEN platform = 'notion' THEN mode ELSE 'full' END AS mode, CASE WHEN platform = 'notion' AND mode <> 'full' THEN checkpoint ELSE '' END AS since, platform <> 'notion' OR mode = 'full' AS deletes, platform <> 'notion' OR mode = 'full' AS indexes FROM m")
+def round_plan(spark, d):
+    """How the next round of each platform runs: only one of them can scan incrementally."""
+    return reports.plan_round(mode_decision(spark, d), ("notion",))
+
+
+@query(f"WITH {_RUNS}, r AS (SELECT platform, id, checkpoint FROM runs) SELECT id, platform, coalesce(CASE WHEN checkpoint = '' THEN lag(checkpoint) OVER (PARTITION BY platform ORDER BY id) ELSE checkpoint END, '') AS checkpoint FROM r")
+def checkpoints_kept(spark, d):
+    """The checkpoint that each run leaves: a failed one that of the run before it."""
+    before = runs.before(_runs(spark, d), "checkpoint")
+    return before.select("id", "platform", reports.kept_checkpoint(F.col("before"), F.col("checkpoint"), F.col("checkpoint") == "").alias("checkpoint"))
+
+
+@query(
+    """SELECT id, CASE WHEN type IN ('docx', 'page', 'db_row') THEN coalesce(title, '') ELSE '> Standalone resource node (' || type || '): this content is not expanded in the mirror; drill down or open the original online to view it.' || chr(10) || '>' || chr(10)
+  || '> Drill-down token: `' || id || '`' || CASE WHEN coalesce(local_path, '') <> '' THEN chr(10) || '>' || chr(10) || '> View online: https://notes.example/' || local_path ELSE '' END END AS body FROM ledger_documents WHERE type IS NOT NULL"""
+)
+def selected_bodies(spark, d):
+    """The body of each document: what was fetched for kinds that have text, else a note of where it is."""
+    t = table(spark, d, "ledger_documents").where("type IS NOT NULL")
+    url = F.when(F.coalesce("local_path", F.lit("")) != "", F.concat(F.lit("https://notes.example/"), "local_path"))
+    return t.select("id", M.selected_body(F.col("type"), F.coalesce("title", F.lit("")), F.lit(None).cast("string"), F.col("id"), url).alias("body"))
+
+
+@query(
+    """WITH e AS (SELECT raw_id, space_id AS token, table_id, 'v' || raw_id % 3 AS view_id, raw_id % 4 AS k FROM bitable_records)
+SELECT raw_id, 'a' || chr(10) || '<!-- doclake:base_refer ' || CASE WHEN k = 0 THEN '' ELSE 'table-id="' || table_id || '" ' END || 'token="' || token || '" view-id="' || view_id || '" -->' || chr(10) || chr(10)
+  || CASE k WHEN 0 THEN '' WHEN 1 THEN '> Failed to fetch the bitable; open it online to view. ' ELSE 'T' || raw_id || chr(10) || chr(10) END
+  || '[Open the bitable in Feishu](https://acme.feishu.cn/base/' || token || '?' || CASE WHEN k = 0 THEN '' ELSE 'table=' || table_id || '&' END || 'view=' || view_id || ')' || ' z' AS body,
+  CASE k WHEN 0 THEN 'failed' WHEN 1 THEN 'failed' WHEN 2 THEN 'rendered' ELSE 'oversize' END AS outcome FROM e"""
+)
+def embedded_bitables(spark, d):
+    """Tables embedded in bodies, in all four outcomes: not named in full, not fetched, shown, too long to be shown."""
+    k, lit = F.col("raw_id") % 4, F.lit
+    e = table(spark, d, "bitable_records").select("raw_id", "space_id", "table_id", k.alias("k"))
+    tag = F.concat(lit('<base_refer view-id="v'), (F.col("raw_id") % 3).cast("string"), lit('" token="'), "space_id", F.when(F.col("k") == 0, lit("")).otherwise(F.concat(lit('" table-id="'), "table_id")), lit('"> </base_refer>'))
+    bodies = e.select(F.col("raw_id").alias("id"), F.concat(lit("a\n"), tag, lit(" z")).alias("body"), lit("https://acme.feishu.cn/docx/x").alias("url"))
+    known = e.where("k > 1").groupBy("space_id", "table_id", "raw_id").agg(F.max("k").alias("k"))
+    shown = known.select(F.col("raw_id").alias("id"), F.col("space_id").alias("token"), "table_id", F.concat(lit("T"), F.col("raw_id").cast("string")).alias("text"), (F.col("k") == 3).alias("oversize"))
+    got = indexes.embed_bitables(bodies, shown)
+    return got.select(F.col("id").alias("raw_id"), "body", F.get("outcomes", lit(0)).alias("outcome"))
+
+
+@query()
+def health_rows(spark, d):
+    """The fixed rows of a health report from what the tables tell: quota and visible objects are measured, the rest skipped."""
+    left = quota_usage(spark, d).agg(F.min("remaining").alias("r"))
+    quota = left.select(F.lit("quota").alias("name"), F.when(F.col("r") <= 0, "fail").when(F.col("r") < 2_000, "warn").otherwise("pass").alias("status"), F.concat(F.lit("remaining "), F.col("r").cast("string")).alias("detail"))
+    seen = table(spark, d, "notion_objects").agg(F.count("*").alias("n"))
+    visible = seen.select(F.lit("notion-visible").alias("name"), F.when(F.col("n") == 0, "warn").otherwise("pass").alias("status"), F.col("n").cast("string").alias("detail"))
+    return reports.health(quota.unionByName(visible), ("notion",))

@@ -1,4 +1,6 @@
-from doclake.operators import incremental, indexes, rewrite, rounds
+from pyspark.sql import functions as F
+
+from doclake.operators import assets, incremental, indexes, reports, rewrite, rounds
 from doclake.sources import config
 from doclake.sources.inventory import REMOTE_DOC
 
@@ -79,14 +81,91 @@ def test_bitable_lines(spark):
     assert [r.line for r in got] == ["Bitable (4 rows, over the inline threshold; showing structure only):\n\n- Columns: k", "| a | b |\n| --- | --- |", "| 1\\| |   |", "| 2\\| |   |"]
 
 
+PLACED = "id string, platform string, parent_id string, type string, local_path string, status string"
+NEW = "platform string, id string, parent_id string, type string, title string, ord int"
+
+
 def test_incremental_placement(spark):
-    led = spark.createDataFrame([("r", "p", "folder", "p/R", "active"), ("leaf", "p", "docx", "p/R/Leaf.md", "active"), ("dead", "p", "folder", "p/D", "trashed")], "id string, platform string, type string, local_path string, status string")
-    docs = spark.createDataFrame([("p", "n1", "r", "docx", "leaf", 1), ("p", "n2", "r", "docx", "New", 2), ("p", "n3", "r", "docx", "new", 3), ("p", "n4", "dead", "docx", "X", 4), ("p", "n5", None, "folder", "Top", 5), ("p", "n6", "leaf", "docx", "Child", 6), ("p", "leaf", "r", "docx", "Leaf", 7)], "platform string, id string, parent_id string, type string, title string, ord int")
+    led = spark.createDataFrame(
+        [("r", "p", None, "folder", "p/R", "active"), ("leaf", "p", "r", "docx", "p/R/Leaf.md", "active"), ("dead", "p", None, "folder", "p/D", "trashed"), ("cut", "p", "dead", "folder", "p/D/Cut", "active")], PLACED
+    )
+    docs = spark.createDataFrame(
+        [("p", "n1", "r", "docx", "leaf", 1), ("p", "n2", "r", "docx", "New", 2), ("p", "n3", "r", "docx", "new", 3), ("p", "n4", "dead", "docx", "X", 4), ("p", "n5", "", "folder", "Top", 5), ("p", "n6", "leaf", "docx", "Child", 6), ("p", "leaf", "r", "docx", "Leaf", 7),
+         ("p", "n7", "n5", "docx", "In", 8), ("p", "n8", "n7", "docx", "Deep", 9), ("p", "n9", "cut", "docx", "Lost", 10), ("p", "l1", "l2", "docx", "L", 11), ("p", "l2", "l1", "docx", "L", 12)], NEW
+    )
     got = {r.id: r.path for r in incremental.place_new(docs, led).collect()}
-    assert got == {"n1": "p/R/leaf-n1.md", "n2": "p/R/New.md", "n3": "p/R/new-n3.md", "n4": "p/_orphans/X.md", "n5": "p/Top", "n6": "p/R/Leaf/Child.md"}
+    assert got == {
+        "n1": "p/R/leaf-n1.md", "n2": "p/R/New.md", "n3": "p/R/new-n3.md", "n4": "p/_orphans/X.md", "n5": "p/Top", "n6": "p/R/Leaf/Child.md",
+        "n7": "p/Top/In/README.md", "n8": "p/Top/In/Deep.md", "n9": "p/_orphans/Lost.md", "l1": "p/_orphans/L.md", "l2": "p/_orphans/L-l2.md",
+    }
     assert [tuple(r) for r in incremental.new_directories(docs, led).collect()] == [("leaf", "p/R/Leaf.md", "p/R/Leaf/README.md")]
 
 
+def test_newcomers_never_take_a_name(spark):
+    """The name with the id is taken too, by a ledger row and among newcomers whose ids begin alike: numbers follow."""
+    led = spark.createDataFrame([("r", "p", None, "folder", "p", "active"), ("x", "p", None, "docx", "p/Notes.md", "active"), ("y", "p", None, "docx", "p/notes-newdoc01.md", "active"), ("d", "p", None, "page", "p/Sub/README.md", "active")], PLACED)
+    docs = spark.createDataFrame([("p", f"newdoc01{i}", None, "docx", t, 1) for i, t in enumerate(["Notes", "Notes", "NOTES", "sub", "Notes-newdoc01"])], NEW)
+    got = {r.id: r.path for r in incremental.place_new(docs, led).collect()}
+    names = [p.lower() for p in got.values()] + ["p/notes.md", "p/notes-newdoc01.md", "p/sub.md"]
+    assert len(set(names)) == len(names) == 8
+    assert got["newdoc010"] == "p/Notes-newdoc01-2.md" and got["newdoc013"] == "p/sub-newdoc01.md"
+    none = spark.createDataFrame([], NEW)
+    assert incremental.place_new(none, led).count() == 0
+
+
+def test_assets(spark):
+    led = spark.createDataFrame([("a", "s1", "p1", "done"), ("b", None, None, "pending"), ("c", "s3", "p3", "done"), ("d", "s4", "", "done")], "remote_key string, sha256 string, local_path string, status string")
+    refs = spark.createDataFrame([("1", "a"), ("1", "a"), ("1", "b"), ("2", "c"), ("2", "d"), ("3", "e"), ("4", None), (None, "z")], "id string, key string")
+    got = spark.createDataFrame([("b", "s2", "p2"), ("a", "other", "p"), ("x", "s", "p")], "key string, sha256 string, path string")
+    files = spark.createDataFrame([("p1",)], "path string")
+    nxt, out = assets.settle(led, refs, got, files)
+    assert sorted(map(tuple, out.collect())) == [("1", "a", "reused"), ("1", "b", "downloaded"), ("2", "c", "pending"), ("2", "d", "pending"), ("3", "e", "pending")]
+    assert sorted(map(tuple, nxt.collect())) == [("a", "s1", "p1", "done"), ("b", "s2", "p2", "done"), ("c", "s3", "p3", "pending"), ("d", "s4", "", "pending"), ("e", None, None, "pending")]
+    docs = spark.createDataFrame([("1",), ("2",), ("4",)], "id string")
+    assert sorted(map(tuple, assets.statuses_after(docs, out).collect())) == [("1", "active"), ("2", "pending_assets"), ("4", "active")]
+    assert assets.register(led, refs).where("status = 'done'").count() == 3
+
+
+def test_reports(spark):
+    row = spark.createDataFrame([("p", 1, None), ("q", 2, 5), ("p", 3, 1)], "platform string, unknown_blocks int, truncated_pages int")
+    for c in reports.LOSSES:
+        if c not in row.columns:
+            row = row.withColumn(c, F.lit(0))
+    assert {r.platform: (r.unknown_blocks, r.truncated_pages, r.degradations) for r in reports.losses(row).collect()} == {"p": (4, 1, 5), "q": (2, 5, 7)}
+    stats = spark.createDataFrame([("q", 1, ["x"], None), ("p", 2, ["y", "z"], ["w"])], "platform string, added int, failures array<string>, warnings array<string>")
+    assert tuple(reports.merge_stats(stats).first()) == (3, ["y", "z", "x"], ["w"], ["p", "q"])
+    assert tuple(reports.merge_stats(stats.limit(0)).first()) == (0, [], [], [])
+    modes = spark.createDataFrame([("p", "incremental", "t1"), ("q", "incremental", "t2"), ("r", "full", None)], "platform string, mode string, checkpoint string")
+    assert sorted(map(tuple, reports.plan_round(modes, ("p", "r")).collect())) == [("p", "incremental", "t1", False, False), ("q", "full", "", True, True), ("r", "full", "", True, True)]
+
+
+def test_health(spark):
+    schema = "name string, status string, detail string"
+    down = spark.createDataFrame([("lark-engine", "fail", "none"), ("lark-auth", "pass", "?"), ("config", "pass", ""), ("config", "warn", "old")], schema)
+    rows = reports.health(down, ("feishu",))
+    got = {r.name: (r.status, r.detail) for r in rows.collect()}
+    assert len(got) == 13 and [r.nth for r in rows.orderBy("nth").collect()] == list(range(1, 14))
+    assert got["lark-auth"] == ("skip", "lark engine unavailable (see F1)") and got["notion-env"] == ("skip", "notion not configured") and got["config"] == ("warn", "old") and got["quota"] == ("skip", "")
+    assert tuple(reports.verdict(rows).first()) == (False, "F1")
+    up = spark.createDataFrame([("lark-engine", "pass", ""), ("lark-auth", "fail", "no")], schema)
+    assert {r.name: r.status for r in reports.health(up, ("feishu", "notion")).collect()}["lark-auth"] == "fail"
+    assert tuple(reports.verdict(reports.health(up.limit(0), ())).first()) == (True, "")
+
+
+def test_embedded_tables(spark):
+    shown = spark.createDataFrame([("1", "T", "t", "| a |", False), ("1", "T", "big", "cols", True)], "id string, token string, table_id string, text string, oversize boolean")
+    body = 'x <bitable token="T" table-id="t" view-id="v w"></bitable> <base_refer token="T"/>\n<base_refer table-id="big" token="T"> </base_refer><bitable token="T" table-id="no">end'
+    bodies = spark.createDataFrame([("1", body, "https://h.feishu.cn/docx/D?x"), ("2", "plain", None), ("3", None, None)], "id string, body string, url string")
+    got = {r.id: (r.body, r.outcomes) for r in indexes.embed_bitables(bodies, shown).collect()}
+    link = "[Open the bitable in Feishu](https://h.feishu.cn/base/T"
+    assert got["1"][1] == ["rendered", "failed", "oversize", "failed"]
+    assert got["1"][0] == (
+        f'x <!-- doclake:base_refer table-id="t" token="T" view-id="v w" -->\n\n| a |\n\n{link}?table=t&view=v+w) <!-- doclake:base_refer token="T" -->\n\n{link})\n'
+        f'<!-- doclake:base_refer table-id="big" token="T" -->\n\ncols\n\n{link}?table=big)<!-- doclake:base_refer table-id="no" token="T" -->\n\n> Failed to fetch the bitable; open it online to view. {link}?table=no)end'
+    )
+    assert got["2"] == ("plain", []) and got["3"] == (None, [])
+
+
 def test_empty_dirs_and_files(spark, tmp_path):
     before, after = (spark.createDataFrame([(p,) for p in x], "path string") for x in (["a/b/c.md", "a/d.md", "top.md"], ["a/d.md"]))
     assert [r.dir for r in rewrite.dirs_left_empty(before, after).collect()] == ["a/b"]
