@@ -10,8 +10,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-_MASK = (1 << 64) - 1
-_BASES = (0x9E3779B97F4A7C15 | 5, 0xD6E8FEB86659FD93 | 5)  # odd, so that they have inverses
+_BASE = 0x9E3779B97F4A7C15 | 5  # odd, so that it has an inverse
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -26,22 +25,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Rolling:
     """Hashes of any stretch of a text, from prefix sums: polynomial in a base, modulo 2**64, over mixed characters."""
 
-    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    _powers: tuple[np.ndarray, np.ndarray] | None = None
 
-    def __init__(self, codes: np.ndarray, which: int = 0):
+    def __init__(self, codes: np.ndarray):
         n = len(codes)
-        base = _BASES[which]
-        held = self._powers.get(which)
-        if held is None or len(held[0]) <= n:
-            size = max(n + 1, 1 << 16)
+        if Rolling._powers is None or len(Rolling._powers[0]) <= n:
             both = []
-            for b in (base, pow(base, -1, 1 << 64)):
-                p = np.full(size, b, np.uint64)
+            for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+                p = np.full(max(n + 1, 1 << 16), b, np.uint64)
                 p[0] = 1
                 both.append(np.multiply.accumulate(p))
-            held = self._powers[which] = (both[0], both[1])
-        up, self._down = held
-        values = _mix(codes.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019 * (which + 1) & _MASK))
+            Rolling._powers = (both[0], both[1])
+        up, self._down = Rolling._powers
+        values = _mix(codes.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
         self._sums = np.zeros(n + 1, np.uint64)
         np.cumsum(values * up[:n], out=self._sums[1:])
 
@@ -53,6 +49,45 @@ class Rolling:
         return _mix((self._sums[length:] - self._sums[:n]) * self._down[:n])
 
 
+class Exact:
+    """Hashes of all windows of one length modulo two primes: 62 bits, without the coincidences that powers of two have on
+    texts of regular structure."""
+
+    _PRIMES, _BASES = (2_147_483_647, 2_147_483_629), (1_000_003_579, 1_234_567_891)
+    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    @classmethod
+    def _held(cls, which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        held = cls._powers.get(which)
+        if held is None or len(held[0]) < n:
+            p = np.uint64(cls._PRIMES[which])
+            both = []
+            for b in (cls._BASES[which], pow(cls._BASES[which], -1, cls._PRIMES[which])):
+                powers, step = np.ones(1, np.uint64), b
+                while len(powers) < max(n, 1 << 16):
+                    powers = np.concatenate([powers, powers * np.uint64(step) % p])
+                    step = step * step % int(p)
+                both.append(powers)
+            held = cls._powers[which] = (both[0], both[1])
+        return held
+
+    @classmethod
+    def windows(cls, codes: np.ndarray, length: int) -> np.ndarray:
+        """The hash of every window of ``length`` characters, as int64."""
+        n = len(codes) - length + 1
+        if n <= 0:
+            return np.zeros(0, np.int64)
+        out = np.zeros(n, np.uint64)
+        for which, prime in enumerate(cls._PRIMES):
+            p = np.uint64(prime)
+            up, down = cls._held(which, len(codes))
+            sums = np.zeros(len(codes) + 1, np.uint64)
+            np.cumsum(_mix(codes.astype(np.uint64) + np.uint64(which + 1)) % p * up[: len(codes)] % p, out=sums[1:])
+            sums %= p
+            out = (out << np.uint64(31)) | ((sums[length:] + p - sums[:n]) % p * down[:n] % p)
+        return out.view(np.int64)
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """The least of every ``w`` neighbours."""
     n = len(x) - w + 1

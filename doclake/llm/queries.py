@@ -9,7 +9,8 @@ from doclake.llm import mixing, spans, tokens
 from doclake.session import cut, ship, spread, table
 
 SEED = 20_250_101
-BATCHES = 2
+#: Batches in which documents come in, and runs of a level that are compacted.
+BATCHES, FAN_OUT = 3, 2
 
 
 def _documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -47,7 +48,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str) -> spans.SpanIndex:
-    index = spans.SpanIndex(spark)
+    index = spans.SpanIndex(spark, fan_out=FAN_OUT)
     for batch in spans.arrival_batches(_documents(spark, d, "doc_id", "text", "crawled_at"), "crawled_at", BATCHES):
         index.add(batch)
     return index

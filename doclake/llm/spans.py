@@ -1,20 +1,25 @@
 """Long exact spans shared between documents: a log-structured index of window fingerprints.
 
 Each batch of documents becomes one immutable run: the segments of all its windows (see :mod:`doclake.llm.fingerprints`),
-bucketed and sorted by representative. Runs are merge-joined bucket by bucket, without moving them again: representatives
-that occur in one document only leave at once. Runs of one level are compacted into one of the next when there are
-``fan_out`` of them, so a document is rewritten a logarithmic number of times and a query reads few runs.
+bucketed and sorted by representative. The new run is merge-joined with the historical ones bucket by bucket, which moves
+neither: what comes out are the new segments whose representative another document has, and those of the history that
+had only one document until now. These hits are written down; history that was hit before is not read into them again. Runs
+of one level are then compacted, bucket by bucket and without a shuffle, into one of the next when there are ``fan_out`` of
+them, so a document is rewritten a logarithmic number of times and a new batch meets few runs.
 
-What is left is verified. A segment whose whole text occurs in two documents (same representative and same digest of its
+Hits are verified. A segment whose whole text occurs in two documents (same representative and same digest of its
 text) is shared altogether. The others, at the ends of shared passages, are compared window by window: each distinct one
 gives the hashes of its windows, once, whatever the number of documents that hold it, and a window is shared where two
-documents have it. So copies are never paired: a group of any size costs its distinct segments. A window is known by
-its representative and its own hash under another base, 128 bits; before windows are hashed, the text is held against the
-segment's digest.
+documents have it. So copies are never paired: a group of any size costs its distinct segments. A segment is known by its
+representative and a 64-bit digest of its text; a window by its representative and its hash modulo two primes, 62 bits more;
+before windows are hashed, the text is held against the segment's digest.
+
+With a ``folder`` the index outlives the session: runs, hits and a manifest are kept there, and :meth:`SpanIndex.open` goes on.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -25,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from doclake.llm.fingerprints import Rolling, codes_of, segments
+from doclake.llm.fingerprints import Exact, codes_of, segments
 from doclake.session import cut, discard, new_path
 
 #: Characters of text that a Python worker holds in arrays at a time (a longer text is held alone).
@@ -66,64 +71,113 @@ class SpanIndex:
     length of a shared span in characters (Unicode code points), ``gram`` (under ``span``) that of the hashed grams.
     """
 
-    def __init__(self, spark: SparkSession, span: int = 200, gram: int = 100, fan_out: int = 4, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, span: int = 200, gram: int = 100, fan_out: int = 4, buckets: int | None = None, folder: str | None = None):
         if not 0 < gram < span:
             raise ValueError("gram must be under span")
-        self.spark, self.span, self.gram, self.fan_out = spark, span, gram, fan_out
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.spark, self.span, self.gram, self.fan_out, self.folder = spark, span, gram, fan_out, folder
+        self.buckets = buckets
         self.runs: list[tuple[int, str, str]] = []  # level, table, path; oldest first
+        self.hits: list[str] = []  # paths
         self.texts: list[DataFrame] = []
-
-    def _write(self, rows: DataFrame, level: int) -> None:
-        name, path = f"doclake_run_{uuid.uuid4().hex}", new_path(self.spark, "run")
-        ordered = rows.repartition(self.buckets, "fp").sortWithinPartitions("fp", "seg")
-        ordered.write.format("parquet").option("path", path).bucketBy(self.buckets, "fp").sortBy("fp", "seg").saveAsTable(name)
-        self.runs.append((level, name, path))
+        self.schema: T.StructType | None = None  # of a run
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> SpanIndex:
+        """The index that an earlier session left in ``folder``; :meth:`shared` then needs the documents."""
+        m = json.loads(spark.read.text(f"{folder}/manifest.json", wholetext=True).first()[0])
+        index = cls(spark, m["span"], m["gram"], m["fan_out"], m["buckets"], folder)
+        index.schema = T.StructType.fromJson(m["schema"])
+        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in index.schema)
+        for level, path in m["runs"]:
+            name = f"doclake_run_{uuid.uuid4().hex}"
+            spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (fp) SORTED BY (fp, seg) INTO {index.buckets} BUCKETS LOCATION '{path}'")
+            index.runs.append((level, name, path))
+        index.hits = m["hits"]
+        return index
+
+    def _path(self, what: str) -> str:
+        return f"{self.folder}/{what}-{uuid.uuid4().hex}" if self.folder else new_path(self.spark, what)
+
+    def _keep_manifest(self) -> None:
+        """Write the manifest beside the old one and put it in its place: what it names is complete by then."""
+        if not self.folder:
+            return
+        m = {"span": self.span, "gram": self.gram, "fan_out": self.fan_out, "buckets": self.buckets, "schema": json.loads(self.schema.json()), "runs": [(level, path) for level, _, path in self.runs], "hits": self.hits}
+        jvm = self.spark.sparkContext._jvm
+        new, old = (jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}") for n in ("_manifest.new", "manifest.json"))
+        fs = new.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        out = fs.create(new, True)
+        out.write(json.dumps(m).encode())
+        out.close()
+        fs.delete(old, False)
+        fs.rename(new, old)
+
+    def _write(self, rows: DataFrame, level: int) -> tuple[int, str, str]:
+        name, path = f"doclake_run_{uuid.uuid4().hex}", self._path("run")
+        rows.write.format("parquet").option("path", path).bucketBy(self.buckets, "fp").sortBy("fp", "seg").saveAsTable(name)
+        self.schema = self.schema or rows.schema
+        return level, name, path
+
+    def _all(self, runs: list[tuple[int, str, str]]) -> DataFrame:
+        """The rows of ``runs``; a union of tables with the same buckets is bucketed like them."""
+        rows = self.spark.table(runs[0][1])
+        for _, name, _ in runs[1:]:
+            rows = rows.unionByName(self.spark.table(name))
+        return rows
 
     def add(self, docs: DataFrame) -> None:
         """Index one batch of documents (doc_id, text; other columns are left alone)."""
         docs = docs.select("doc_id", "text")
+        if self.buckets is None:  # of the first batch's size: the files' counts of rows tell it
+            self.buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // 50_000)
         self.texts.append(docs)
-        self._write(segment_rows(docs, self.span, self.gram), 0)
-        self._compact()
-
-    def _compact(self) -> None:
-        level = 0
+        rows = segment_rows(docs, self.span, self.gram)
+        run = self._write(rows.repartition(self.buckets, "fp").sortWithinPartitions("fp", "seg"), 0)
+        self._meet(run)
+        self.runs.append(run)
+        gone = self._compact()
+        self._keep_manifest()
+        for _, name, path in gone:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            discard(self.spark, path)
+
+    def _meet(self, run: tuple[int, str, str]) -> None:
+        """Write down the hits that a new run brings."""
+        ends = lambda rows: rows.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+        new, old = self.spark.table(run[1]), self._all(self.runs) if self.runs else None
+        met = ends(new)
+        if old is not None:
+            before = ends(old).select("fp", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+            met = met.join(before.hint("merge"), "fp", "left")
+            met = met.select("fp", F.least("lo", "lo2").alias("lo"), F.greatest("hi", "hi2").alias("hi"), F.coalesce(F.col("lo2") == F.col("hi2"), F.lit(False)).alias("alone"))
+        else:
+            met = met.withColumn("alone", F.lit(False))
+        passing: list[str] = []
+        two = cut(met.where("lo <> hi").select("fp", "alone"), "met", passing)
+        hits = new.join(two.select("fp").hint("merge"), "fp", "left_semi")
+        if old is not None:
+            hits = hits.unionByName(old.join(two.where("alone").select("fp").hint("merge"), "fp", "left_semi"))
+        path = self._path("hits")
+        hits.write.parquet(path)
+        self.hits.append(path)
+        discard(self.spark, passing[0])
+
+    def _compact(self) -> list[tuple[int, str, str]]:
+        """Merge the runs of full levels; gives the runs that are no longer needed. A row that is there twice (a document
+        indexed again) is kept once, which also is what keeps the merge on the runs' buckets."""
+        level, gone = 0, []
         while len(same := [r for r in self.runs if r[0] == level]) >= self.fan_out:
-            rows = self.spark.table(same[0][1])
-            for _, name, _ in same[1:]:
-                rows = rows.unionByName(self.spark.table(name))
-            self._write(rows, level + 1)
-            for run in same:
-                self.runs.remove(run)
-                self.spark.sql(f"DROP TABLE IF EXISTS {run[1]}")
-                discard(self.spark, run[2])
+            rows = self._all(same)
+            merged = rows.groupBy("fp", "seg", "doc_id", "start_at").agg(F.max("windows").alias("windows")).select(rows.columns)
+            self.runs = [r for r in self.runs if r not in same] + [self._write(merged, level + 1)]
+            gone += same
             level += 1
+        return gone
 
-    def _hits(self) -> DataFrame:
-        """The segments whose representative occurs in two documents, from merging the runs bucket by bucket."""
-        merged = None
-        for _, name, _ in self.runs:
-            s = self.spark.table(name).groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-            if merged is None:
-                merged = s
-            else:
-                s = s.select("fp", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-                merged = merged.join(s.hint("merge"), "fp", "full").select("fp", F.least("lo", "lo2").alias("lo"), F.greatest("hi", "hi2").alias("hi"))
-        two = merged.where("lo <> hi").select("fp")
-        hits = None
-        for _, name, _ in self.runs:
-            part = self.spark.table(name).join(two.hint("merge"), "fp", "left_semi")
-            hits = part if hits is None else hits.unionByName(part)
-        return cut(hits, "hits")
-
-    def _windows(self, parts: DataFrame) -> DataFrame:
+    def _windows(self, parts: DataFrame, texts: DataFrame) -> DataFrame:
         """(fp, seg, whole, lo, hi, off, hash) of every window of the segments ``parts``, from the texts."""
         span = self.span
         per_doc = parts.groupBy("doc_id").agg(F.collect_list(F.struct("fp", "seg", "whole", "lo", "hi", "start_at", "windows")).alias("parts"))
-        texts = self.texts[0]
-        for t in self.texts[1:]:
-            texts = texts.unionByName(t)
         id_type = parts.schema["lo"].dataType
         schema = T.StructType(
             [T.StructField("fp", T.LongType()), T.StructField("seg", T.LongType()), T.StructField("whole", T.BooleanType()), T.StructField("lo", id_type), T.StructField("hi", id_type), T.StructField("off", T.IntegerType()), T.StructField("hash", T.LongType())]
@@ -135,7 +189,7 @@ class SpanIndex:
             import xxhash
 
             good = [i for i, r in enumerate(rows) if xxhash.xxh3_64_intdigest(view[4 * starts[i] : 4 * starts[i + 1]]) == r[1]["seg"] % (1 << 64)]
-            hashes = Rolling(codes, 1).windows(span).view(np.int64)
+            hashes = Exact.windows(codes, span)
             counts = np.array([rows[i][1]["windows"] for i in good], np.int64)
             first = starts[good] if good else np.zeros(0, np.int64)
             off = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -162,16 +216,21 @@ class SpanIndex:
 
         return texts.join(per_doc, "doc_id").select("text", "parts").mapInArrow(run, schema)
 
-    def shared(self) -> DataFrame:
+    def shared(self, docs: DataFrame | None = None) -> DataFrame:
         """(doc_id, start_at, end_at): the stretches of each indexed document covered by spans of at least ``span``
-        characters that occur verbatim in another one; stretches of a document don't touch."""
+        characters that occur verbatim in another one; stretches of a document don't touch. ``docs`` (doc_id, text) are
+        the indexed documents, needed where some were added in another session."""
         if not self.runs:
             raise ValueError("nothing is indexed")
-        hits = self._hits()
+        if docs is None:
+            docs = self.texts[0]
+            for t in self.texts[1:]:
+                docs = docs.unionByName(t)
+        hits = self.spark.read.schema(self.schema).parquet(*self.hits)
         segs = hits.groupBy("fp", "seg").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "start_at", "windows")).alias("one"))
         segs = cut(segs.select("fp", "seg", "lo", "hi", F.col("one.doc_id").alias("doc_id"), F.col("one.start_at").alias("start_at"), F.col("one.windows").alias("windows"), (F.col("lo") != F.col("hi")).alias("whole")), "segments")
         uneven = segs.where("NOT whole").select("fp").distinct()
-        windows = cut(self._windows(segs.join(uneven, "fp", "left_semi")), "windows")
+        windows = cut(self._windows(segs.join(uneven, "fp", "left_semi"), docs.select("doc_id", "text")), "windows")
         twice = windows.groupBy("fp", "hash").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi")).where("_lo <> _hi").select("fp", "hash")
         found = windows.where("NOT whole").join(twice, ["fp", "hash"], "left_semi").select("fp", "seg", "off")
         # Neighbouring windows of a segment become one stretch.
