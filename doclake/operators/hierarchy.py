@@ -14,7 +14,7 @@ nothing is lost with an executor; what later rounds read shrinks with every roun
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from doclake.session import cut, discard, new_path
@@ -72,19 +72,21 @@ def contract(links: DataFrame, paths: bool = False, label: str | None = None, ma
             .when(low, "compress")
             .otherwise("keep")
         )
-        done = cut(
-            j.select("src", "v", "p", left.alias("kids"), "dist", (F.col("acc") + F.coalesce("_raked", F.lit(0))).alias("acc"), "hid", "turn", *hops, "c", "c_hid", act.alias("act")),
-            f"contract-{k}",
-            passing,
+        met = Observation()
+        told = (
+            j.select("src", "v", "p", left.alias("kids"), "dist", (F.col("acc") + F.coalesce("_raked", F.lit(0))).alias("acc"), "hid", "turn", *hops, "c", "c_hid", act.alias("act"))
+            .observe(met, F.count(F.when(F.col("act").isin("keep", "rake", "compress"), 1)).alias("open"))
         )
+        done = cut(told, f"contract-{k}", passing)
         rounds.append(done)
         # Roots and cores stay until all that hangs on them is gone; each round they take what is raked into them.
-        counts = {r["act"]: r["n"] for r in done.groupBy("act").agg(F.count("*").alias("n")).collect()}
-        if not (counts.get("keep", 0) or counts.get("rake", 0) or counts.get("compress", 0)):
+        # The count is taken while writing; a task that ran twice may count twice, but none that is left counts as none.
+        if not met.get["open"]:
             break
         stay = done.where("act IN ('keep', 'root', 'core')")
-        spliced = done.where("act = 'compress'").select(F.col("src").alias("_src"), F.col("v").alias("_v"), F.col("p").alias("_p"), F.col("dist").alias("_dist"), (F.col("acc") + F.col("hid") + 1).alias("_hid"), *([F.concat(F.array(mark), F.col("hops")).alias("_hops")] if paths else []))
-        s = stay.join(spliced, (F.col("src") == F.col("_src")) & (F.col("p") == F.col("_v")), "left")
+        # A spliced node tells its only child, by the child's key: a parent of many is no one's join key here.
+        spliced = done.where("act = 'compress'").select(F.col("src").alias("_src"), F.col("c").alias("_v"), F.col("p").alias("_p"), F.col("dist").alias("_dist"), (F.col("acc") + F.col("hid") + 1).alias("_hid"), *([F.concat(F.array(mark), F.col("hops")).alias("_hops")] if paths else []))
+        s = stay.join(spliced, (F.col("src") == F.col("_src")) & (F.col("v") == F.col("_v")), "left")
         state = s.select(
             "src",
             "v",

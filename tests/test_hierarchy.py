@@ -39,3 +39,13 @@ def test_trees_chains_and_loops(spark):
 
 def test_no_nodes(spark):
     assert contract(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_a_parent_of_a_third_of_all_nodes(spark):
+    """A hub with leaves, with short chains and in the middle of a long chain."""
+    n = 3_000
+    data = [("t", f"leaf{i}", "hub") for i in range(n)] + [("t", f"top{i}", "hub") for i in range(n // 3)] + [("t", f"low{i}", f"top{i}") for i in range(n // 3)]
+    data += [("t", "hub", "c0")] + [("t", f"c{i}", f"c{i + 1}") for i in range(40)] + [("t", "c40", None)]
+    got = {r.node_id: (r.root_id, r.depth, r.n_desc) for r in contract(spark.createDataFrame(data, "src string, node_id string, parent_id string")).collect()}
+    assert len(got) == len(data) and {r for r, _, _ in got.values()} == {"c40"}
+    assert got["hub"] == ("c40", 41, n + 2 * (n // 3)) and got["leaf7"] == ("c40", 42, 0) and got["low5"] == ("c40", 43, 0) and got["top5"][2] == 1 and got["c40"][2] == len(data) - 1
