@@ -40,8 +40,25 @@ def yaml_quote(c: Column) -> Column:
 
 
 def yaml_key(c: Column) -> Column:
-    """A YAML key: bare when it is plain, else quoted."""
-    return F.when(c.rlike(r"^[A-Za-z_][A-Za-z0-9_ -]*$") & ~c.rlike(" $"), c).otherwise(yaml_quote(c))
+    """A YAML key: bare when nothing in it means something to YAML and no blanks stand around it, else quoted."""
+    plain = (c != "") & (strip(c) == c) & ~c.rlike(r"^[!&*\-?:,\[\]{}#|>@`\"'%]") & ~c.rlike(r"[:#\n\r\t\"\\]")
+    return F.when(plain, c).otherwise(yaml_quote(c))
+
+
+#: Fixed value: the first line of every front matter block.
+FRONT_WARNING = "# Read-only mirror: local changes are overwritten on the next sync; to change content, follow the url and edit online"
+
+
+def front_block(texts: dict[str, Column], times: dict[str, Column], properties: Column | None = None) -> Column:
+    """A front matter block: the warning, ``texts`` quoted (null is empty), ``times`` as they are (null or empty is null), in the
+    order of the dictionaries, then ``properties``, an array of (key, value), if there are any."""
+    lines = [F.concat(F.lit(f"{k}: "), yaml_quote(F.coalesce(c, F.lit("")))) for k, c in texts.items()]
+    lines += [F.concat(F.lit(f"{k}: "), F.coalesce(F.nullif(c, F.lit("")), F.lit("null"))) for k, c in times.items()]
+    block = F.concat_ws("\n", F.lit("---"), F.lit(FRONT_WARNING), *lines)
+    if properties is not None:
+        each = F.transform(properties, lambda p: F.concat(F.lit("\n  "), yaml_key(p["key"]), F.lit(": "), yaml_quote(p["value"])))
+        block = F.concat(block, F.when(F.size(properties) > 0, F.concat(F.lit("\nproperties:"), F.array_join(each, ""))).otherwise(""))
+    return F.concat(block, F.lit("\n---\n"))
 
 
 def xml_escape(c: Column) -> Column:

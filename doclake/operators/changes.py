@@ -45,3 +45,13 @@ def guarded_deletes(inventory: DataFrame, ledger: DataFrame) -> DataFrame:
 def chain_moves(moves: DataFrame) -> DataFrame:
     """(id, old_path, new_path) over several rounds of ``moves`` (seq, id, old_path, new_path): first old, last new."""
     return moves.groupBy("id").agg(F.min_by("old_path", "seq").alias("old_path"), F.max_by("new_path", "seq").alias("new_path"))
+
+
+def deepest_first(df: DataFrame, path: str) -> DataFrame:
+    """``df`` in the order in which paths are deleted: by bytes, the longest first; null last."""
+    return df.orderBy(F.desc_nulls_last(F.octet_length(path)), F.col(path))
+
+
+def shallow_first(df: DataFrame, path: str) -> DataFrame:
+    """``df`` in the order in which paths are made: by depth; null last."""
+    return df.orderBy(F.asc_nulls_last(F.size(F.split(path, "/"))), F.col(path))

@@ -12,7 +12,7 @@ from doclake.functions import properties as P
 from doclake.functions import text as X
 from doclake.functions.ids import BLANK, canonical_id, canonical_id_sql, strip
 from doclake.operators import changes, ledger, links, placement, runs
-from doclake.session import ship, table
+from doclake.session import cut, ship, table
 from doclake.sources import inventory as I
 from doclake.sources import landed
 
@@ -323,7 +323,8 @@ def moves(spark, d):
 SELECT o.platform, o.id, o.path FROM old o JOIN a USING (platform) LEFT JOIN s USING (platform) WHERE o.status = 'active' AND coalesce(s.n, 0) >= a.n * 0.8 AND o.id NOT IN (SELECT id FROM now)"""
 )
 def deletes_guarded(spark, d):
-    return changes.guarded_deletes(_snapshot(spark, d, 0), _snapshot(spark, d, 1))
+    """What is to be trashed, the longest paths first, so that a directory is empty when its turn comes."""
+    return changes.deepest_first(changes.guarded_deletes(_snapshot(spark, d, 0), _snapshot(spark, d, 1)), "path")
 
 
 #: Days that trashed documents are kept.
@@ -508,10 +509,11 @@ SELECT id, repeat('../', CAST(len(x) - 1 - same AS INTEGER)) || array_to_string(
 def relative_paths(spark, d):
     """From each document's file to that of the next in path order."""
     t = table(spark, d, "ledger_documents").where("local_path IS NOT NULL").select("id", "local_path")
-    ranged = t.repartitionByRange("local_path", "id").sortWithinPartitions("local_path", "id").withColumn("part", F.spark_partition_id())
+    # The partition is written down: another pass might number partitions otherwise.
+    ranged = cut(t.repartitionByRange("local_path", "id").sortWithinPartitions("local_path", "id").withColumn("part", F.spark_partition_id()), "paths")
     w = Window.partitionBy("part").orderBy("local_path", "id")
-    heads = ranged.groupBy("part").agg(F.min("local_path").alias("head"))
-    after = heads.select((F.col("part") - 1).alias("part"), "head")
+    heads = ranged.groupBy("part").agg(F.min("local_path").alias("head"))  # a row per partition that isn't empty
+    after = heads.select("part", F.lead("head").over(Window.partitionBy(F.lit(0)).orderBy("part")).alias("head"))
     nxt = ranged.withColumn("b", F.lead("local_path").over(w)).join(after, "part", "left").withColumn("b", F.coalesce("b", "head"))
     return nxt.where("b IS NOT NULL").select("id", X.relative_path(F.col("local_path"), F.col("b")).alias("rel"))
 
@@ -544,17 +546,23 @@ def table_cells(spark, d):
     return table(spark, d, "ledger_documents").where("title IS NOT NULL").select("id", X.md_cell(F.col("title")).alias("cell"), X.link_dest(F.col("local_path")).alias("dest"))
 
 
+def _quoted_sql(c: str) -> str:
+    return f"""'"' || replace(replace(replace(replace(replace(coalesce({c}, ''), '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t') || '"' || chr(10)"""
+
+
+_TIME_SQL = "CASE WHEN regexp_full_match({0}, '\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}:\\d{{2}}Z') THEN {0} ELSE 'null' END || chr(10)"
+
+
 @query(
-    """SELECT id, '---' || chr(10) || 'title: "' || replace(replace(replace(replace(replace(coalesce(title, ''), '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t') || '"' || chr(10) || 'id: "' || id || '"' || chr(10)
-  || 'platform: ' || coalesce(platform, 'null') || chr(10) || 'type: ' || coalesce(type, 'null') || chr(10) || 'edited: ' || coalesce(nullif(remote_edited, ''), 'null') || chr(10) || '---' || chr(10) AS front FROM ledger_documents"""
+    f"""SELECT id, '---' || chr(10) || '{X.FRONT_WARNING}' || chr(10) || 'id: ' || {_quoted_sql('id')} || 'source: ' || {_quoted_sql('platform')} || 'type: ' || {_quoted_sql('type')} || 'url: ' || {_quoted_sql("''")}
+  || 'title: ' || {_quoted_sql('title')} || 'breadcrumb: ' || {_quoted_sql("''")} || 'updated: ' || {_TIME_SQL.format('remote_edited')} || 'synced: ' || {_TIME_SQL.format('synced_at')} || '---' || chr(10) AS front FROM ledger_documents"""
 )
 def front_matter(spark, d):
-    """The front matter block of each document, in fixed key order."""
-    null = F.lit("null")
-    return table(spark, d, "ledger_documents").select(
-        "id",
-        F.concat(F.lit("---\ntitle: "), X.yaml_quote(F.coalesce("title", F.lit(""))), F.lit('\nid: "'), "id", F.lit('"\nplatform: '), F.coalesce("platform", null), F.lit("\ntype: "), F.coalesce("type", null), F.lit("\nedited: "), F.coalesce(F.nullif("remote_edited", F.lit("")), null), F.lit("\n---\n")).alias("front"),
-    )
+    """The front matter block of each document, in fixed key order; times that aren't whole seconds of UTC are null."""
+    none = F.lit("")
+    time = lambda c: F.when(F.col(c).rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"), F.col(c))
+    texts = {"id": F.col("id"), "source": F.col("platform"), "type": F.col("type"), "url": none, "title": F.col("title"), "breadcrumb": none}
+    return table(spark, d, "ledger_documents").select("id", X.front_block(texts, {"updated": time("remote_edited"), "synced": time("synced_at")}).alias("front"))
 
 
 @query(f"SELECT rec_id, coalesce({_UNIX.format('modified_time')}, '') AS utc FROM drive_files")

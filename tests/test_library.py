@@ -131,6 +131,20 @@ def test_markup_rewrites(spark):
     assert value(spark, lambda b: M.annotate_fences(b, F.array(F.lit("t1"))), "x\n```mermaid\ng\n```\n```mermaid\n") == "x\n<!-- doclake:board t1 -->\n```mermaid\ng\n```\n```mermaid\n"
 
 
+def test_front_matter(spark):
+    df = spark.createDataFrame([("x\n", None, [("b: c", 'q"'), ("状态", ""), ("-a", "1")]), ("y", "2024-01-02T03:04:05Z", [])], "id string, t string, p array<struct<key: string, value: string>>")
+    got = [r[0] for r in df.select(X.front_block({"id": F.col("id"), "url": F.lit(None)}, {"updated": F.col("t")}, F.col("p"))).collect()]
+    assert got[0] == f'---\n{X.FRONT_WARNING}\nid: "x\\n"\nurl: ""\nupdated: null\nproperties:\n  "b: c": "q\\""\n  状态: ""\n  "-a": "1"\n---\n'
+    assert got[1] == f'---\n{X.FRONT_WARNING}\nid: "y"\nurl: ""\nupdated: 2024-01-02T03:04:05Z\n---\n'
+    assert [value(spark, X.yaml_key, k) for k in ("plain one", " a", "a#b", "")] == ["plain one", '" a"', '"a#b"', '""']
+
+
+def test_orders_of_paths(spark):
+    df = spark.createDataFrame([("a/b",), ("a/é",), (None,), ("a/b/c/d",), ("long-name",)], "path string")
+    assert [r.path for r in changes.deepest_first(df, "path").collect()] == ["long-name", "a/b/c/d", "a/é", "a/b", None]
+    assert [r.path for r in changes.shallow_first(df, "path").collect()][0] == "long-name"
+
+
 def test_what_bodies_refer_to(spark):
     hexed = "00112233445566778899aabbccddeeff"
     body = f'<page\n icon="i" url="https://www.notion.so/T-{hexed.upper()}"/> <pagex url="{hexed}"> <page url="none"> <page url="x/{hexed}"><database url="d" data-source-url="collection://{hexed}"> <database url="d">'
