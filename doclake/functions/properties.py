@@ -216,3 +216,13 @@ def canonical_entries(entries: Column) -> Column:
     """(key, value) entries as one text that tells them apart: ``<bytes of key>:<key>=<value>`` a line."""
     line = lambda e: F.concat(F.octet_length(e["key"]).cast("string"), F.lit(":"), e["key"], F.lit("="), e["value"], F.lit("\n"))
     return F.array_join(F.transform(entries, line), "")
+
+
+#: Between a row's body and its properties in what is hashed.
+ROW_SEPARATOR = "\x00doclake:properties\x00"
+
+
+def row_hash(body: Column, canonical: Column) -> Column:
+    """The hash of a document's body, for database rows with known properties together with these; null counts as empty body."""
+    text = F.coalesce(body, F.lit(""))
+    return F.sha2(F.when(canonical.isNull(), text).otherwise(F.concat(text, F.lit(ROW_SEPARATOR), canonical)), 256)

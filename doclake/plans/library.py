@@ -642,6 +642,18 @@ def row_hashes(spark, d):
     return p.groupBy("raw_id").agg(P.canonical_entries(entries).alias("canonical")).select("raw_id", F.sha2("canonical", 256).alias("row_hash"))
 
 
+@query()
+def row_document_hashes(spark, d):
+    """The content hash of every database row of the ledger: its text with the properties of its last delivery, if there are any."""
+    p = render_properties(spark, d)
+    entries = F.array_sort(F.collect_list(F.struct(F.col("name").alias("key"), F.col("text").alias("value"))))
+    canonical = p.groupBy("raw_id").agg(P.canonical_entries(entries).alias("canonical"))
+    rows = table(spark, d, "query_rows").select("raw_id", canonical_id(F.col("id")).alias("_id"), "fetched_at").join(canonical, "raw_id")
+    last = rows.groupBy("_id").agg(F.max_by("canonical", F.struct("fetched_at", "raw_id")).alias("canonical"))
+    docs = _ledger(spark, d).where("type = 'db_row'").select("id", "title")
+    return docs.join(last, F.col("id") == F.col("_id"), "left").select("id", P.row_hash(F.col("title"), F.col("canonical")).alias("content_hash"))
+
+
 @query(f"SELECT data_source_id, list_sort(list(DISTINCT name))[1:4] AS columns FROM (SELECT q.data_source_id, f.name FROM ({_FLAT}) f JOIN query_rows q USING (raw_id) WHERE f.type IS DISTINCT FROM 'title') GROUP BY data_source_id")
 def index_columns(spark, d):
     """The columns of each database's index: the first four property names."""

@@ -139,6 +139,14 @@ def test_front_matter(spark):
     assert [value(spark, X.yaml_key, k) for k in ("plain one", " a", "a#b", "")] == ["plain one", '" a"', '"a#b"', '""']
 
 
+def test_row_hashes(spark):
+    import hashlib
+
+    df = spark.createDataFrame([("b", "1:k=v\n"), ("b", None), (None, "")], "body string, canonical string")
+    got = [r[0] for r in df.select(P.row_hash(F.col("body"), F.col("canonical"))).collect()]
+    assert got == [hashlib.sha256(x.encode()).hexdigest() for x in ("b\0doclake:properties\x001:k=v\n", "b", "\0doclake:properties\0")]
+
+
 def test_orders_of_paths(spark):
     df = spark.createDataFrame([("a/b",), ("a/é",), (None,), ("a/b/c/d",), ("long-name",)], "path string")
     assert [r.path for r in changes.deepest_first(df, "path").collect()] == ["long-name", "a/b/c/d", "a/é", "a/b", None]
