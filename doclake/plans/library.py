@@ -683,7 +683,12 @@ def bitable_schema(spark, d):
     return cells.groupBy("space_id", "table_id", "field").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    f"""WITH {_LEDGER}, r AS (SELECT raw_id, name, json_extract(value, '$.relation') AS rel FROM ({_FLAT}) WHERE type = 'relation'),
+e AS (SELECT raw_id, name, i, CASE WHEN json_type(rel) = 'ARRAY' THEN json_extract_string(rel, '$[' || i || '].id') END AS raw FROM r, LATERAL (SELECT unnest(range(0, coalesce(CASE WHEN json_type(rel) = 'ARRAY' THEN json_array_length(rel) END, 0)::BIGINT)) AS i) x),
+s AS (SELECT e.raw_id, e.name, e.i, coalesce(nullif(l.title, ''), {_id('raw')}, '') AS shown FROM e LEFT JOIN led l ON l.id = {_id('raw')})
+SELECT r.raw_id, r.name, '[' || coalesce(string_agg(s.shown, ', ' ORDER BY s.i), '') || ']' AS text FROM r LEFT JOIN s USING (raw_id, name) GROUP BY r.raw_id, r.name"""
+)
 def relation_titles(spark, d):
     """Relations of the database rows with the titles of what they name, else its id; ``[]`` for an empty or null one."""
     rel = _properties(spark, d).where(F.get_json_object("value", "$.type") == "relation")

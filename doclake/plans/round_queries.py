@@ -329,7 +329,13 @@ def embedded_bitables(spark, d):
     return got.select(F.col("id").alias("raw_id"), "body", F.get("outcomes", lit(0)).alias("outcome"))
 
 
-@query()
+@query(
+    f"""WITH q AS ({_LIBRARY_SQL['quota_usage']}), r AS (SELECT min(remaining) AS r FROM q), n AS (SELECT count(*) AS n FROM notion_objects),
+c AS (SELECT * FROM (VALUES (1, 'G0', 'config'), (2, 'G1', 'mirror-root'), (3, 'G2', 'quota'), (4, 'F1', 'lark-engine'), (5, 'F2', 'lark-auth'), (6, 'F3', 'lark-scope-wiki'), (7, 'F3', 'lark-scope-docs'), (8, 'F3', 'lark-scope-drive'),
+  (9, 'F4', 'lark-output-format'), (10, 'F5', 'feishu-mirror-scope'), (11, 'N1', 'notion-env'), (12, 'N2', 'notion-token'), (13, 'N3', 'notion-visible')) t(nth, code, name))
+SELECT nth, code, name, CASE name WHEN 'quota' THEN CASE WHEN r <= 0 THEN 'fail' WHEN r < 2000 THEN 'warn' ELSE 'pass' END WHEN 'notion-visible' THEN CASE WHEN n = 0 THEN 'warn' ELSE 'pass' END ELSE 'skip' END AS status,
+  CASE WHEN code LIKE 'F%' THEN 'feishu not configured' WHEN name = 'quota' THEN 'remaining ' || r WHEN name = 'notion-visible' THEN n::VARCHAR ELSE '' END AS detail FROM c, r, n"""
+)
 def health_rows(spark, d):
     """The fixed rows of a health report from what the tables tell: quota and visible objects are measured, the rest skipped."""
     left = quota_usage(spark, d).agg(F.min("remaining").alias("r"))
